@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ledgerlake.llm import bpe
+from ledgerlake.llm import bpe, mixing
 from ledgerlake.llm.common import table
 
 
@@ -15,5 +16,17 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, ids=False)
 
 
-QUERIES = {"op1_bpe": op1_bpe}
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of every document."""
+    drawn = mixing.draws(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return drawn.select(
+        F.col("row.doc_id").alias("doc_id"),
+        F.col("mix_size").alias("size"),
+        F.col("mix_source_size").alias("source_size"),
+        F.col("mix_target").alias("target"),
+        (F.col("mix_size") * F.size("mix_draws")).cast("long").alias("taken"),
+    )
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op4_mixing": op4_mixing}
 ORACLE_SQL: dict[str, str] = {}
