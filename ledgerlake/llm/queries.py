@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlake.llm import bpe, mixing
+from ledgerlake.llm import bpe, mixing, toxicity
 from ledgerlake.llm.common import table
 
 
@@ -16,6 +16,12 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, ids=False)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score every document by a machine trained on the labels that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the mix takes of every document."""
     drawn = mixing.draws(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
@@ -28,5 +34,5 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op4_mixing": op4_mixing}
+QUERIES = {"op1_bpe": op1_bpe, "op3_toxicity": op3_toxicity, "op4_mixing": op4_mixing}
 ORACLE_SQL: dict[str, str] = {}
