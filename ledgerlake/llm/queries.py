@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlake.llm import bpe, mixing, toxicity
+from ledgerlake.llm import bpe, mixing, ngram_join, preference, toxicity, vafile
 from ledgerlake.llm.common import table
 
 
@@ -34,5 +34,35 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op3_toxicity": op3_toxicity, "op4_mixing": op4_mixing}
-ORACLE_SQL: dict[str, str] = {}
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents linked at 0.85 by shingles of four words."""
+    return ngram_join.join(table(spark, sf_dir, "documents"), size=4, num=85, den=100)
+
+
+def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five largest integer inner products of every 50th vector."""
+    return vafile.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op9_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompts and masked completions of all pairs of conversations."""
+    return preference.formatted(preference.pairs(preference.conversations(table(spark, sf_dir, "conversations"))))
+
+
+QUERIES = {
+    "op1_bpe": op1_bpe,
+    "op3_toxicity": op3_toxicity,
+    "op4_mixing": op4_mixing,
+    "op6_ngram_join": op6_ngram_join,
+    "op7_topk": op7_topk,
+    "op9_preference": op9_preference,
+}
+ORACLE_SQL = {
+    "op7_topk": """
+        with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) x from embeddings),
+        s as (select q.vec_id query_id, c.vec_id, cast(list_inner_product(list_transform(q.x, lambda y: y::double), list_transform(c.x, lambda y: y::double)) as bigint) score
+              from v q, v c where q.vec_id % 50 = 0 and c.vec_id <> q.vec_id)
+        select query_id, cast(rank as integer) rank, vec_id, score
+        from (select *, row_number() over (partition by query_id order by score desc, vec_id) rank from s) where rank <= 5
+    """,
+}
