@@ -155,6 +155,11 @@ def _sets_by(table: pa.Table, size: int) -> list[np.ndarray]:
     return _split(table.column("text").to_pylist(), size)
 
 
+def _together(left: DataFrame, right: DataFrame, key: str):
+    """Both sides grouped by ``key``; their columns get new identities, as both come from one table."""
+    return left.toDF(*left.columns).groupBy(key).cogroup(right.toDF(*right.columns).groupBy(key))
+
+
 _EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -198,7 +203,7 @@ def join(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataF
                 b.append(ids[own[c]])
         return pa.table({"a": a, "b": b}, schema=_EDGE)
 
-    stars = durable(hubs.groupBy("task").cogroup(members.groupBy("task")).applyInArrow(star, "a long, b long"))
+    stars = durable(_together(hubs, members, "task").applyInArrow(star, "a long, b long"))
     # an id with several rows can have several representatives
     twice = member.filter("rep is not null").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a <> b").select("a", "b")
     first = components(stars.union(twice))
@@ -244,7 +249,7 @@ def join(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataF
                     edges.add((qcomp[q], ccomp[own[c]]))
         return pa.table({"a": [x for x, _ in edges], "b": [x for _, x in edges]}, schema=_EDGE)
 
-    found = asked.join(texts, "id").groupBy("task").cogroup(among.join(texts, "id").groupBy("task")).applyInArrow(search, "a long, b long")
+    found = _together(asked.join(texts, "id"), among.join(texts, "id"), "task").applyInArrow(search, "a long, b long")
     second = components(found.distinct())
     whole = first.join(second.select(F.col("id").alias("component"), F.col("component").alias("over")), "component", "full")
     whole = whole.select(F.coalesce("id", "component").alias("rep"), F.coalesce("over", "component").alias("component_id"))
