@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlake.llm import bpe, mixing, ngram_join, preference, toxicity, vafile
+from ledgerlake.llm import bpe, line_dedup, mixing, ngram_join, preference, span_dedup, toxicity, vafile
 from ledgerlake.llm.common import table
 
 
@@ -16,6 +16,11 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, ids=False)
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the runs of lines that an earlier place holds."""
+    return line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text")).select(F.col("row.doc_id").alias("doc_id"), "n_lines", "n_removed", "text")
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score every document by a machine trained on the labels that are not held out."""
     docs = table(spark, sf_dir, "documents")
@@ -44,6 +49,12 @@ def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vafile.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op8_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the sentences that a repeated span covers."""
+    done = span_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select(F.col("row.doc_id").alias("doc_id"), "n_sentences", F.size("removed").cast("long").alias("n_removed"), "removed", "text")
+
+
 def op9_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prompts and masked completions of all pairs of conversations."""
     return preference.formatted(preference.pairs(preference.conversations(table(spark, sf_dir, "conversations"))))
@@ -51,10 +62,12 @@ def op9_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op2_line_dedup": op2_line_dedup,
     "op3_toxicity": op3_toxicity,
     "op4_mixing": op4_mixing,
     "op6_ngram_join": op6_ngram_join,
     "op7_topk": op7_topk,
+    "op8_span_dedup": op8_span_dedup,
     "op9_preference": op9_preference,
 }
 ORACLE_SQL = {
