@@ -77,7 +77,8 @@ def spans_of(text: str, sentences: int, words: int) -> list[tuple[int, int, int]
             h = (h * 0x9E3779B97F4A7C15 + x + 1) & 0xFFFFFFFFFFFFFFFF
             h ^= h >> 29
         out.append((h - (1 << 63), i, j))
-return out
+    return out
+
 
 
 def repeated_sentences(docs: DataFrame, sentences: int = SENTENCES, words: int = WORDS) -> DataFrame:
