@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlake.llm import bpe, line_dedup, mixing, ngram_join, preference, span_dedup, toxicity, vafile
+from ledgerlake.llm import bpe, html_text, line_dedup, mixing, ngram_join, preference, span_dedup, toxicity, vafile
 from ledgerlake.llm.common import table
 
 
@@ -39,6 +39,11 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_text.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents linked at 0.85 by shingles of four words."""
     return ngram_join.join(table(spark, sf_dir, "documents"), size=4, num=85, den=100)
@@ -65,6 +70,7 @@ QUERIES = {
     "op2_line_dedup": op2_line_dedup,
     "op3_toxicity": op3_toxicity,
     "op4_mixing": op4_mixing,
+    "op5_html_text": op5_html_text,
     "op6_ngram_join": op6_ngram_join,
     "op7_topk": op7_topk,
     "op8_span_dedup": op8_span_dedup,
