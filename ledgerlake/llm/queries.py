@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlake.llm import bpe, html_text, line_dedup, mixing, ngram_join, preference, span_dedup, toxicity, vafile
+from ledgerlake.llm import bpe, html_text, line_dedup, mixing, ngram_join, nn_descent, preference, span_dedup, toxicity, vafile
 from ledgerlake.llm.common import table
 
 
@@ -65,6 +65,11 @@ def op9_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preference.formatted(preference.pairs(preference.conversations(table(spark, sf_dir, "conversations"))))
 
 
+def op10_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty nearest vectors found for every 20th vector."""
+    return nn_descent.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_line_dedup": op2_line_dedup,
@@ -75,6 +80,7 @@ QUERIES = {
     "op7_topk": op7_topk,
     "op8_span_dedup": op8_span_dedup,
     "op9_preference": op9_preference,
+    "op10_nn_descent": op10_nn_descent,
 }
 ORACLE_SQL = {
     "op7_topk": """
