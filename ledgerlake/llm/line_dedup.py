@@ -32,6 +32,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerlake.llm.common import durable, mix64
 
@@ -138,4 +139,4 @@ def dedup(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
             got = [(t, 0, 0) if t is None else without(t, r or []) for t, r in zip(row.field(row.type.get_field_index("text")).to_pylist(), batch.column(1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([row, pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.int64()), pa.array([x[2] for x in got], pa.int64())], names=["row", "text", "n_lines", "n_removed"])
 
-    return joined.mapInArrow(run, rows.select("row", F.lit("").alias("text"), F.lit(0).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_removed")).schema)
+    return joined.mapInArrow(run, T.StructType([rows.schema["row"]]).add("text", "string").add("n_lines", "long").add("n_removed", "long"))

@@ -46,6 +46,8 @@ PLANES = 2
 LEAF = 256
 BEAM = 160
 STEPS = 3
+#: Longest vectors, from which every search starts besides the query's own place.
+ENTRIES = 64
 #: Nodes of a task in the local joins, and queries of a task in the search.
 BLOCK = 2048
 QUERY_BLOCK = 512
@@ -233,17 +235,22 @@ def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, k: int, beam:
 
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     met = queries.select("query_id", "id", F.lit(0.0).alias("score"), F.lit(False).alias("expanded"))
+    norm = F.aggregate("x", F.lit(0.0), lambda a, x: a + x * x)
+    entries = [r["id"] for r in nodes.select("id", norm.alias("norm")).orderBy(F.desc("norm"), "id").limit(ENTRIES).collect()]
     for step in range(steps):
         front = met.filter("not expanded").select("query_id", "id")
-        pairs = front.join(graph.select("id", "near"), "id").select("query_id", F.explode("near").alias("id")).union(front if step == 0 else front.limit(0)).distinct()
+        pairs = front.join(graph.select("id", "near"), "id").select("query_id", F.explode("near").alias("id"))
+        if step == 0:
+            pairs = pairs.union(front)
+            if entries:
+                pairs = pairs.union(front.select("query_id", F.explode(F.array(*map(F.lit, entries))).alias("id")))
+        pairs = pairs.distinct()
         pairs = durable(pairs.select("query_id", "id", qb, cb).withColumn("task", F.col("qb") * splits + F.col("cb")))
         wanted = pairs.select("task", "id").distinct().join(nodes.select("id", "x"), "id").select("task", F.lit(1).alias("kind"), "id", "x")
         wanted = wanted.union(asked.select("task", F.lit(0).alias("kind"), F.col("query_id").alias("id"), "x"))
         scored = _together(pairs, wanted, "task").applyInArrow(score, "query_id long, id long, score double")
-        known = met.withColumn("expanded", F.lit(True))
-        if step == 0:
-            known = known.join(scored.select("query_id", "id"), ["query_id", "id"], "left_anti").limit(0)
-        both = known.union(scored.withColumn("expanded", F.lit(False))).groupBy("query_id", "id").agg(F.max("score").alias("score"), F.bool_or("expanded").alias("expanded"))
+        both = scored.withColumn("expanded", F.lit(False))
+        both = both.union(met.withColumn("expanded", F.lit(True))) if step else both.groupBy("query_id", "id").agg(F.max("score").alias("score"), F.bool_or("expanded").alias("expanded"))
         met = durable(both.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= width).drop("rank"))
     return met.select("query_id", "id", "score")
 

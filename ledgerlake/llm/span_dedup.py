@@ -28,11 +28,12 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerlake.llm.common import LOWER, durable
 
 SENTENCES = 2
-WORDS = 20
+WORDS = 12
 
 _cuts = re.compile(r"(?<=[.!?])\s+|\n\s*").finditer
 
@@ -127,4 +128,4 @@ def dedup(docs: DataFrame, sentences: int = SENTENCES, words: int = WORDS) -> Da
             got = [(t, 0, []) if t is None else without(t, s or []) for t, s in zip(row.field(row.type.get_field_index("text")).to_pylist(), batch.column(1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([row, pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.int64()), pa.array([x[2] for x in got], pa.list_(pa.int32()))], names=["row", "text", "n_sentences", "removed"])
 
-    return joined.mapInArrow(run, rows.select("row", F.lit("").alias("text"), F.lit(0).cast("long").alias("n_sentences"), F.array().cast("array<int>").alias("removed")).schema)
+    return joined.mapInArrow(run, T.StructType([rows.schema["row"]]).add("text", "string").add("n_sentences", "long").add("removed", T.ArrayType(T.IntegerType())))

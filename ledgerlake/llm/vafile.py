@@ -71,7 +71,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, grid: float = 256.0)
     base = base.select("vec_id", whole.alias("x"), F.size("embedding").alias("dim"))
     queries = base.filter(is_query).dropDuplicates(["vec_id"])
     copies = Window.partitionBy("x").orderBy("vec_id")
-    candidates = base.withColumn("copy", F.row_number().over(copies)).filter(F.col("copy") <= k + 1).drop("copy")
+    candidates = base.withColumn("copy", F.dense_rank().over(copies)).filter(F.col("copy") <= k + 1).drop("copy").dropDuplicates(["vec_id", "x"])
     n_queries, n_candidates = queries.count(), base.count()
     q_blocks, c_blocks = max(1, -(-n_queries // QUERY_BLOCK)), max(1, -(-n_candidates // CANDIDATE_BLOCK))
 
