@@ -45,3 +45,13 @@ SQL = {
     "enc2_dictionary_stats": "select count(distinct program) as entries, count(*) as occurrences, r6(case when count(distinct program) = 0 then 1e0 else 30e0 * count(*) / (30e0 * count(*) + 32e0 * count(distinct program)) end) as ratio from {instructions} i",
     "enc22_pattern_mining": "select gram, c, c * 4 as gain from (select gram, count(*) as c from (select substr(data, 1, 4) as gram from {instructions} i where nbytes(data) >= 4) g group by gram having count(*) >= 3) t order by gain desc, gram limit 100",
 }
+
+SQL |= {
+    "fea14_timestamp_density": "select payment_id % 100 as grp, r6(count_in / dbl(n)) as density from (select payment_id % 100 as payment_id, nif(ts_s > 1577836800 and ts_s < 1893456000) as count_in, count(*) as n from {payments} p group by payment_id % 100) t",
+    "fea25_multi_scale": "select slot, scale, r6(1 - count(distinct piece) / dbl(count(*))) as repetition from (select b.slot, s.scale, substr(b.block_hash, 1 + s.scale * i.i, s.scale) as piece from {blocks} b cross join (select 1 as scale union all select 2 union all select 4) s join series(0, 64, i) i on (i.i + 1) * s.scale <= 64) x group by slot, scale",
+    "sup14_model_inputs": "select slot, max(case when feature = 'unique' then importance else 0e0 end) as u, max(case when feature = 'zero' then importance else 0e0 end) as z from (select slot, 'unique' as feature, r6(count(*) / 256e0) as importance from {byte_counts} k group by slot union all select slot, 'zero', r6(sum(case when b = 0 then c else 0 end) / dbl(sum(c))) from {byte_counts} k group by slot) f group by slot",
+    "sup21_model_complexity": "select r6((128 * 64 + 64 * 32 + 32 * 16) / 1e3) as complexity",
+    "sup22_feature_groups": "select slot, listed(b) as first_bytes from (select slot, b, row_number() over (partition by slot order by c desc, b) as rank from {byte_counts} k) t where rank <= 20 group by slot",
+    "sup24_combined_stats": "select strategy, version, r6(sum(original) / dbl(sum(compressed))) as ratio, count(*) as blocks from {results} r group by strategy, version",
+    "sup18_model_insights": "select strategy, used, rank from (select strategy, count(*) as used, big(row_number() over (order by count(*) desc, strategy)) as rank from {results} r group by strategy) t",
+}
