@@ -11,6 +11,8 @@ required overlap is linked.  First every hub is searched among its members.
 Only where members still lie in different components are those outside the
 hub's component searched, in blocks, among all members of the hub's groups.
 Since every linked pair shares such a group, no link between components is missed.
+Before either search, sketches of a few bytes rule out members that differ in
+too many shingles already there, so that only texts likely to be similar are moved.
 
 How rare a shingle is only orders a set.  Shingles met twice in any batch are
 counted and the ``FREQUENT`` commonest (a fixed bound) broadcast; all others
@@ -39,13 +41,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.common import durable, shingle_sets, texts_of
+from ledgerlake.llm.common import durable, pieces, shingle_sets, texts_of
 from ledgerlake.llm.components import components
 
 #: Shingles whose counts are broadcast at most (16 bytes each).
 FREQUENT = 1 << 18
 #: Members that a search task takes from one hub at most, and about so many rows in all.
 BLOCK = 512
+#: One in so many shingles is in a sketch.
+SAMPLED = 8
+#: Ids of the documents to be searched are broadcast up to so many (some 16 MB), else shuffled.
+BROADCAST_IDS = 1_000_000
 
 
 def _split(texts: list[str | None], size: int) -> list[np.ndarray]:
@@ -103,52 +109,75 @@ class Index:
                 yield c
 
 
-def shingled(docs: DataFrame, size: int) -> DataFrame:
-    """One pass: per row ``doc_id``, ``n``, ``key`` of its set; and ``token``, ``times`` of shingles met more than once in a batch."""
+def frequent_shingles(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``FREQUENT`` commonest of the shingles met more than once in a batch, and how often they were met."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = _split(batch.column(1).to_pylist(), size)
-            keys = [xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) for s in sets]
-            n = [len(s) for s in sets]
-            distinct = list({k: s for k, s in zip(keys, sets, strict=True)}.values())
-            token, times = np.unique(np.concatenate(distinct), return_counts=True) if distinct else (np.empty(0, np.uint64), np.empty(0, np.int64))
-            token, times = token[times > 1].astype(np.int64), times[times > 1]
-            pad = len(token)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.concat_arrays([batch.column(0), pa.nulls(pad, pa.int64())]),
-                    pa.array(n + [None] * pad, pa.int64()),
-                    pa.array(keys + [None] * pad, pa.int64()),
-                    pa.concat_arrays([pa.nulls(len(n), pa.int64()), pa.array(token)]),
-                    pa.concat_arrays([pa.nulls(len(n), pa.int64()), pa.array(times.astype(np.int64))]),
-                ],
-                names=["doc_id", "n", "key", "token", "times"],
-            )
+        for batch in pieces(batches, 5000):
+            distinct = list({s.tobytes(): s for s in _split(batch.column(1).to_pylist(), size)}.values())
+            if distinct:
+                token, times = np.unique(np.concatenate(distinct), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(token[times > 1].astype(np.int64)), pa.array(times[times > 1])], names=["token", "times"])
+
+    met = texts_of(docs).mapInArrow(run, "token long, times long").groupBy("token").agg(F.sum("times").alias("times"))
+    rows = met.orderBy(F.desc("times"), "token").limit(FREQUENT).toArrow()
+    token = rows.column("token").to_numpy().view(np.uint64)
+    order = np.argsort(token)
+    return token[order], rows.column("times").to_numpy()[order]
 
-    return texts_of(docs).mapInArrow(run, "doc_id long, n long, key long, token long, times long")
 
+def sets_of(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """Per row ``doc_id``, ``n``, the ``key`` of its set, its ``rare`` shingles and the ``sketch``.
 
-def prefixes(docs: DataFrame, size: int, num: int, den: int, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """``doc_id``, ``n`` and the rarest shingles of each row, enough that similar sets share one."""
-    held = docs.sparkSession.sparkContext.broadcast(frequent)
+    Similar sets share one of their rare shingles.  The sketch is a sample of the
+    set, the same shingles of any set, cut to 16 bits: two sketches never differ in
+    more places than the sets do.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, size))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token, times = held.value
-        for batch in batches:
-            rare, n = [], []
+        for batch in pieces(batches):
+            n, key, rare, sketch = [], [], [], []
             for s in _split(batch.column(1).to_pylist(), size):
                 count = np.zeros(len(s), dtype=np.int64)
                 if len(token) and len(s):
                     at = np.minimum(np.searchsorted(token, s), len(token) - 1)
                     count = np.where(token[at] == s, times[at], 0)
-                rare.append(s[np.lexsort((s, count))[: len(s) - _least(len(s), num, den) + 1 if len(s) else 0]].astype(np.int64))
                 n.append(len(s))
+                key.append(xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63))
+                rare.append(s[np.lexsort((s, count))[: len(s) - _least(len(s), num, den) + 1 if len(s) else 0]].astype(np.int64))
+                sketch.append(np.unique((s[s % np.uint64(SAMPLED) == 0] >> np.uint64(24)).astype(np.uint16)).tobytes())
             ends = np.concatenate([[0], np.cumsum([len(x) for x in rare])]).astype(np.int32)
             flat = np.concatenate(rare) if rare else np.empty(0, dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["doc_id", "n", "rare"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(key, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(sketch, pa.binary())],
+                names=["doc_id", "n", "key", "rare", "sketch"],
+            )
 
-    return texts_of(docs).mapInArrow(run, "doc_id long, n long, rare array<long>")
+    return texts_of(docs).mapInArrow(run, "doc_id long, n long, key long, rare array<long>, sketch binary")
+
+
+class Sketches:
+    """Inverted lists of the sketches of a block of candidates."""
+
+    def __init__(self, sketches: list[bytes], sizes: np.ndarray):
+        sets = [np.frombuffer(x, dtype=np.uint16) for x in sketches]
+        self.sizes, self.counts = sizes, np.array([len(x) for x in sets], dtype=np.int64)
+        owner = np.repeat(np.arange(len(sets)), self.counts)
+        flat = np.concatenate(sets) if sets else np.empty(0, dtype=np.uint16)
+        order = np.argsort(flat, kind="stable")
+        self.owner = owner[order]
+        self.bounds = np.searchsorted(flat[order], np.arange((1 << 16) + 1))
+
+    def maybe(self, sketch: bytes, n: int, num: int, den: int) -> np.ndarray:
+        """Whether each candidate can be similar to a set of n shingles with this sketch; no similar one is ruled out."""
+        q = np.frombuffer(sketch, dtype=np.uint16).astype(np.int64)
+        parts = [self.owner[a:b] for a, b in zip(self.bounds[q].tolist(), self.bounds[q + 1].tolist(), strict=True) if b > a]
+        both = np.bincount(np.concatenate(parts), minlength=len(self.sizes)) if parts else np.zeros(len(self.sizes), dtype=np.int64)
+        differ = len(q) + self.counts - 2 * both
+        fits = den * np.minimum(self.sizes, n) >= num * np.maximum(self.sizes, n)
+        return fits & ((den + num) * differ <= (den - num) * (self.sizes + n))
 
 
 def _sets_by(table: pa.Table, size: int) -> list[np.ndarray]:
@@ -160,41 +189,75 @@ def _together(left: DataFrame, right: DataFrame, key: str):
     return left.toDF(*left.columns).groupBy(key).cogroup(right.toDF(*right.columns).groupBy(key))
 
 
+def _rows_by(t: pa.Table, *keys: str) -> dict[tuple, list[int]]:
+    """Rows of a table by the values of its keys."""
+    of: dict[tuple, list[int]] = {}
+    for i, k in enumerate(zip(*(t.column(x).to_pylist() for x in keys), strict=True)):
+        of.setdefault(k, []).append(i)
+    return of
+
+
+def _sized(ids: DataFrame) -> DataFrame:
+    """A table of ids, marked for broadcast if it is small."""
+    ids = durable(ids)
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
+def _texts(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``id`` and ``text`` of the documents in ``pairs`` (``hub``, ``id``)."""
+    wanted = _sized(pairs.select("id").union(pairs.select("hub")).distinct())
+    return texts_of(docs).withColumnRenamed("doc_id", "id").join(wanted, "id", "left_semi").dropDuplicates(["id", "text"])
+
+
 _EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
 def join(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """``doc_id``, ``n_shingles`` and ``component_id`` of every row of ``docs``."""
-    seen = durable(shingled(docs, size))
-    rows = seen.filter(F.col("key").isNotNull()).select("doc_id", "n", "key")
-    common = seen.filter(F.col("token").isNotNull()).groupBy("token").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "token").limit(FREQUENT).collect()
-    token = np.array([r["token"] for r in common], dtype=np.int64).view(np.uint64)
-    order = np.argsort(token)
-    frequent = token[order], np.array([r["times"] for r in common], dtype=np.int64)[order]
-    del common
-
-    classes = rows.filter("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"))
-    member = durable(rows.join(classes, "key", "left"))
-    rare = prefixes(docs, size, num, den, frequent).filter("n > 0").join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    grams = durable(rare.select("doc_id", "n", F.explode("rare").alias("token")))
+    sets = durable(sets_of(docs, size, num, den))
+    classes = sets.filter("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"))
+    member = durable(sets.select("doc_id", "n", "key").join(classes, "key", "left"))
+    copies = member.filter("doc_id <> rep").select("doc_id", "key").distinct()
+    own = sets.filter("n > 0 and doc_id is not null").join(_sized(copies), ["doc_id", "key"], "left_anti")
+    grams = own.select("doc_id", F.explode("rare").alias("token"))
     groups = grams.groupBy("token").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("top")).filter("hub < top").select("token", "hub")
     near = durable(grams.join(groups, "token").filter("doc_id <> hub").select("hub", F.col("doc_id").alias("id")).distinct())
-    texts = texts_of(docs).withColumnRenamed("doc_id", "id")
-    texts = durable(texts.join(near.select("id").union(near.select("hub")).distinct(), "id", "left_semi").dropDuplicates(["id", "text"]))
+    sketches = own.select(F.col("doc_id").alias("id"), "n", "sketch")
+    sketches = durable(sketches.join(_sized(near.select("id").union(near.select("hub")).distinct()), "id", "left_semi"))
 
-    # every hub among its members
+    # members whose sketches allow that they are similar to their hub
     total = near.count()
     dealt = near.join(near.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts")), "hub")
     task = F.pmod(F.xxhash64("hub", "part"), F.lit(max(1, total // BLOCK))).alias("task")
-    members = dealt.withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int")).select(task, "hub", "part", "id").join(texts, "id")
-    hubs = dealt.select("hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).distinct().select(task, "hub", "part")
-    hubs = hubs.join(texts.withColumnRenamed("id", "hub"), "hub")
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int")).select(task, "hub", "part", "id")
+    hubs = dealt.select("task", "hub", "part").distinct()
+
+    def allow(left: pa.Table, right: pa.Table) -> pa.Table:
+        of = _rows_by(right, "hub", "part")
+        ids, n, sketch = right.column("id").to_pylist(), right.column("n").to_numpy(), right.column("sketch").to_pylist()
+        a, b = [], []
+        for hub, part, hn, hs in zip(*(left.column(c).to_pylist() for c in ("hub", "part", "n", "sketch")), strict=True):
+            rows = of.get((hub, part), [])
+            may = Sketches([sketch[i] for i in rows], n[rows]).maybe(hs, hn, num, den)
+            b += [ids[i] for i, m in zip(rows, may.tolist(), strict=True) if m]
+            a += [hub] * int(may.sum())
+        return pa.table({"a": a, "b": b}, schema=_EDGE)
+
+    allowed = _together(hubs.join(sketches.withColumnRenamed("id", "hub"), "hub"), dealt.join(sketches, "id"), "task").applyInArrow(allow, "a long, b long")
+    stars_near = durable(allowed.select(F.col("a").alias("hub"), F.col("b").alias("id")))
+
+    # every such hub among its members
+    texts = durable(_texts(docs, stars_near))
+    total = stars_near.count()
+    dealt = stars_near.join(stars_near.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts")), "hub")
+    task = F.pmod(F.xxhash64("hub", "part"), F.lit(max(1, total // BLOCK))).alias("task")
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int")).select(task, "hub", "part", "id")
+    members = dealt.join(texts, "id")
+    hubs = dealt.select("task", "hub", "part").distinct().join(texts.withColumnRenamed("id", "hub"), "hub")
 
     def star(left: pa.Table, right: pa.Table) -> pa.Table:
         a, b = [], []
-        of: dict[tuple, list[int]] = {}
-        for i, k in enumerate(zip(right.column("hub").to_pylist(), right.column("part").to_pylist(), strict=True)):
-            of.setdefault(k, []).append(i)
+        of = _rows_by(right, "hub", "part")
         ids, sets = right.column("id").to_pylist(), _sets_by(right, size)
         for hub, part, query in zip(left.column("hub").to_pylist(), left.column("part").to_pylist(), _sets_by(left, size), strict=True):
             own = of.get((hub, part), [])
@@ -215,12 +278,37 @@ def join(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataF
     open_ = placed.groupBy("hub").agg(F.count(F.lit(1)).alias("n"), F.count_if("out").alias("n_out")).filter("n_out > 0 and n > 1")
     open_ = open_.select("hub", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("n_out") / BLOCK).cast("int").alias("out_blocks"))
     rest = durable(placed.join(open_, "hub").select("hub", "id", "component", "out", "blocks", "out_blocks"))
-    n_tasks = max(1, rest.count() // BLOCK)
-    task = F.pmod(F.xxhash64("hub", "q", "c"), F.lit(n_tasks)).alias("task")
-    own = F.pmod(F.xxhash64(F.lit(7), "id"), F.col("blocks")).cast("int")
-    asked = rest.filter("out").withColumn("q", F.pmod(F.xxhash64(F.lit(9), "id"), F.col("out_blocks")).cast("int"))
-    asked = asked.withColumn("c", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(task, "hub", "q", "c", "id", "component")
-    among = rest.withColumn("c", own).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("out_blocks") - 1))).select(task, "hub", "q", "c", "id", "component")
+
+    def dealt_out(rest: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Those outside against all, in blocks: queries and candidates by task."""
+        task = F.pmod(F.xxhash64("hub", "q", "c"), F.lit(max(1, rest.count() // BLOCK))).alias("task")
+        asked = rest.filter("out").withColumn("q", F.pmod(F.xxhash64(F.lit(9), "id"), F.col("out_blocks")).cast("int"))
+        asked = asked.withColumn("c", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        among = rest.withColumn("c", F.pmod(F.xxhash64(F.lit(7), "id"), F.col("blocks")).cast("int"))
+        among = among.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("out_blocks") - 1)))
+        return tuple(x.select(task, "hub", "q", "c", "id", "component") for x in (asked, among))
+
+    def partners(left: pa.Table, right: pa.Table) -> pa.Table:
+        """Hub and id of whatever may have a similar one in another component."""
+        found: set[tuple[int, int]] = set()
+        of = _rows_by(right, "hub", "q", "c")
+        ids, n, sketch, component = right.column("id").to_numpy(), right.column("n").to_numpy(), right.column("sketch").to_pylist(), right.column("component").to_numpy()
+        qid, qn, qs, qc = (left.column(c).to_pylist() for c in ("id", "n", "sketch", "component"))
+        for k, queries in _rows_by(left, "hub", "q", "c").items():
+            rows = of.get(k, [])
+            index = Sketches([sketch[i] for i in rows], n[rows])
+            for i in queries:
+                may = index.maybe(qs[i], qn[i], num, den) & (component[rows] != qc[i])
+                if may.any():
+                    found.add((k[0], qid[i]))
+                    found.update((k[0], x) for x in ids[rows][may].tolist())
+        return pa.table({"a": [x for x, _ in found], "b": [x for _, x in found]}, schema=_EDGE)
+
+    asked, among = dealt_out(rest)
+    open_ids = _together(asked.join(sketches, "id"), among.join(sketches, "id"), "task").applyInArrow(partners, "a long, b long").distinct()
+    rest = durable(rest.join(open_ids.select(F.col("a").alias("hub"), F.col("b").alias("id")), ["hub", "id"]))
+    texts = durable(_texts(docs, rest.select("id", "hub").withColumn("hub", F.col("id"))))
+    asked, among = dealt_out(rest)
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         edges: set[tuple[int, int]] = set()
@@ -234,10 +322,7 @@ def join(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataF
 
         sides = []
         for t in (left, right):
-            of: dict[tuple, list[int]] = {}
-            for i, k in enumerate(zip(*(t.column(x).to_pylist() for x in ("hub", "q", "c")), strict=True)):
-                of.setdefault(k, []).append(i)
-            sides.append((of, t.column("id").to_pylist(), t.column("component").to_pylist(), _sets_by(t, size)))
+            sides.append((_rows_by(t, "hub", "q", "c"), t.column("id").to_pylist(), t.column("component").to_pylist(), _sets_by(t, size)))
         (asks, qid, qcomp, qset), (holds, cid, ccomp, cset) = sides
         for k, queries in asks.items():
             own = holds.get(k, [])
