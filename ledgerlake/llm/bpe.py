@@ -35,15 +35,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.common import mix64, powers, texts_of
+from ledgerlake.llm.common import mix64, pieces, powers, texts_of
 
 #: Pieces whose encodings a Python worker keeps.
-CACHE = 500_000
+CACHE = 300_000
 #: Fixed value: the pattern for which :meth:`Codec.starts` has a vectorised form.
 PLAIN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _SPACE, _LETTER = 0, 1
 hash64 = xxhash.xxh64_intdigest
-POWERS, INVERSES = powers(1 << 23)
+POWERS, INVERSES = powers(1 << 21)
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -265,7 +265,7 @@ class Codec:
         decoded = [data[a:b] for a, b in pairwise(cut)]
         return [sha256(said[a : max(a, b - 1)]).hexdigest() for a, b in pairwise(told)], [sha256(d).hexdigest() for d in decoded], decoded
 
-    def batches(self, texts: list[str | None], chars: int = 4_000_000) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    def batches(self, texts: list[str | None], chars: int = 1_500_000) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """Number of texts, their ids and counts, for runs of texts with about ``chars`` characters."""
         at = size = 0
         for k, text in enumerate(texts, 1):
@@ -316,7 +316,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, *, ids: bool = True,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(ranks, pattern)
-        for batch in batches:
+        for batch in pieces(batches):
             at = 0
             for n, found, counts in codec.batches(batch.column(1).to_pylist()):
                 id_hash, text_hash, decoded = codec.digests(found, counts)

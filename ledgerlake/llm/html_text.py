@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.common import durable
+from ledgerlake.llm.common import durable, pieces
 
 #: Templates that are broadcast at most.
 BROADCAST_HOSTS = 50_000
@@ -275,7 +275,7 @@ def extract(pages: DataFrame) -> DataFrame:
     joined = hosted.join(F.broadcast(made) if n <= BROADCAST_HOSTS else made, "host", "left").select("page_id", "url", "html", F.coalesce("slot", F.lit("")).alias("slot"), "template")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             text = [article_of(p, s, frozenset(t or ())) for p, s, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(text, pa.string())], names=["page_id", "url", "text"])
 

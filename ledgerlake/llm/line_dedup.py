@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerlake.llm.common import durable, mix64
+from ledgerlake.llm.common import durable, mix64, pieces
 
 GRAM = 2
 WINDOW = 2
@@ -74,7 +74,7 @@ def repeated_runs(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> Da
     """``doc_id``, ``text_hash`` and the ``runs`` (start, end) of its non-blank lines to delete."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             all_hashes, prints = [], []
             for text in batch.column(2).to_pylist():
                 lines, places = lines_of(text)
@@ -98,7 +98,7 @@ def repeated_runs(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> Da
     met = met.join(lines, ["doc_id", "text_hash"]).join(lines.toDF("f_id", "f_hash", "f_lines"), ["f_id", "f_hash"])
 
     def extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             out = []
             for d, h, fd, fh, met_, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 ends: dict[int, int] = {}  # per diagonal, where the last run ends
@@ -134,7 +134,7 @@ def dedup(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
     joined = rows.join(runs, (F.col("row.doc_id").cast("long") == F.col("r_id")) & (F.col("h") == F.col("r_hash")), "left").select("row", "runs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             row = batch.column(0)
             got = [(t, 0, 0) if t is None else without(t, r or []) for t, r in zip(row.field(row.type.get_field_index("text")).to_pylist(), batch.column(1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([row, pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.int64()), pa.array([x[2] for x in got], pa.int64())], names=["row", "text", "n_lines", "n_removed"])

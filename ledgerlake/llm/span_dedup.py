@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerlake.llm.common import LOWER, durable
+from ledgerlake.llm.common import LOWER, durable, pieces
 
 SENTENCES = 2
 WORDS = 12
@@ -86,7 +86,7 @@ def repeated_sentences(docs: DataFrame, sentences: int = SENTENCES, words: int =
     """``doc_id``, ``text_hash`` and the ``spans`` (start, end) of sentences that repeat an earlier place."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             owner, flat = [], []
             for k, text in enumerate(batch.column(2).to_pylist()):
                 own = spans_of(text, sentences, words)
@@ -123,7 +123,7 @@ def dedup(docs: DataFrame, sentences: int = SENTENCES, words: int = WORDS) -> Da
     joined = rows.join(found, (F.col("row.doc_id").cast("long") == F.col("r_id")) & (F.col("h") == F.col("r_hash")), "left").select("row", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             row = batch.column(0)
             got = [(t, 0, []) if t is None else without(t, s or []) for t, s in zip(row.field(row.type.get_field_index("text")).to_pylist(), batch.column(1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([row, pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.int64()), pa.array([x[2] for x in got], pa.list_(pa.int32()))], names=["row", "text", "n_sentences", "removed"])

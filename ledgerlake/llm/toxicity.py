@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.common import texts_of
+from ledgerlake.llm.common import pieces, texts_of
 
 #: Labelled rows that the fit reads at most.
 SAMPLE = 20_000
@@ -38,7 +38,7 @@ BUCKETS = 1 << 20
 TERMS = 4096
 LATENT = 8
 LEAST_Z = 4.5
-CACHE = 500_000
+CACHE = 150_000
 
 _words = re.compile(r"\w+").findall
 
@@ -66,7 +66,7 @@ class Terms:
             if t is None:
                 t = terms(w)
                 if self.wanted is not None:
-                    t = [self.wanted[x] for x in t if x in self.wanted]
+                    t = tuple(self.wanted[x] for x in t if x in self.wanted)  # no place for most words
                 if len(known) >= CACHE:
                     known.clear()
                 known[w] = t
@@ -190,7 +190,7 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         of = Terms({int(b): i for i, b in enumerate(m.buckets)})
-        for batch in batches:
+        for batch in pieces(batches):
             got = m.score([of(t) for t in batch.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.float64())], names=["doc_id", "score"])
 
@@ -205,7 +205,7 @@ def keep_clean(docs: DataFrame, machine: Machine) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         of = Terms({int(b): i for i, b in enumerate(m.buckets)})
-        for batch in batches:
+        for batch in pieces(batches):
             got = m.score([of(t) for t in batch.column(batch.schema.get_field_index("text")).to_pylist()])
             yield batch.filter(pa.array(got < 0.5))
 
