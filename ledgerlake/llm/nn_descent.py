@@ -250,7 +250,8 @@ def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, k: int, beam:
         wanted = wanted.union(asked.select("task", F.lit(0).alias("kind"), F.col("query_id").alias("id"), "x"))
         scored = _together(pairs, wanted, "task").applyInArrow(score, "query_id long, id long, score double")
         both = scored.withColumn("expanded", F.lit(False))
-        both = both.union(met.withColumn("expanded", F.lit(True))) if step else both.groupBy("query_id", "id").agg(F.max("score").alias("score"), F.bool_or("expanded").alias("expanded"))
+        both = both.union(met.withColumn("expanded", F.lit(True))) if step else both
+        both = both.groupBy("query_id", "id").agg(F.max("score").alias("score"), F.bool_or("expanded").alias("expanded"))
         met = durable(both.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= width).drop("rank"))
     return met.select("query_id", "id", "score")
 

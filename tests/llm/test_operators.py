@@ -266,6 +266,16 @@ def test_nn_descent_recall(spark, monkeypatch):
     assert hit / total >= 0.9
 
 
+def test_nn_descent_beam_holds_each_node_once(spark, monkeypatch):
+    _, frame = _vectors(spark, np.random.default_rng(6), 600)
+    for name, value in (("SMALL", 64), ("LEAF", 64), ("NEIGHBOURS", 24), ("REVERSE", 24)):
+        monkeypatch.setattr(nn_descent, name, value)
+    nodes, copies = nn_descent.nodes_of(frame)
+    queries = copies.filter("vec_id % 20 = 0").groupBy(F.col("vec_id").alias("query_id")).agg(F.min("id").alias("id"))
+    met = nn_descent.search(nn_descent.build(nodes), nodes, queries, 20).select("query_id", "id").collect()
+    assert met and len(met) == len(set(met))
+
+
 def test_preference_pairs(spark):
     turns = [(1, 0, "user", "Q"), (1, 1, "assistant", "A"), (1, 2, "user", "R"), (1, 3, "assistant", "B")]
     turns += [(2, 0, "user", "Q"), (2, 1, "assistant", "A"), (2, 2, "user", "R"), (2, 3, "assistant", "C")]
