@@ -4,13 +4,13 @@ Build.  Every distinct vector is a node.  Its first neighbours come from blocks
 of vectors on the same side of random hyperplanes.  Each round then joins, for
 every node, its neighbours and the nodes that hold it as a neighbour: any two
 of them, at least one new since the last round, are compared, and either
-enters the other's list if it is nearer than the last one there.  Rounds are Spark
-joins: lists are joined with the vectors they name, once per task, and what is
+enters the other's list if it is nearer than the last one there.  Rounds end when
+at most a thousandth of the list entries is new.  They are Spark joins: lists are joined with the vectors they name, once per task, and what is
 found is merged by the node that it is for.
 
 Search.  A query is a node.  It keeps a beam of the nearest nodes met; each round
 joins the beam's nodes not yet expanded with their neighbour lists and scores
-those.  Scores are exact inner products in double precision.
+those, until all of the beam are expanded.  Scores are exact inner products in double precision.
 
 Vectors of unequal length are brought to one by a further component, so that the
 largest inner product is the nearest node.
@@ -41,11 +41,11 @@ from ledgerlake.llm.vafile import usable
 
 NEIGHBOURS = 40
 REVERSE = 40
-ROUNDS = 4
+#: Rounds end when at most this share of the list entries is new.
+SETTLED = 0.001
 PLANES = 2
 LEAF = 256
 BEAM = 160
-STEPS = 3
 #: Longest vectors, from which every search starts besides the query's own place.
 ENTRIES = 64
 #: Nodes of a task in the local joins, and queries of a task in the search.
@@ -198,16 +198,19 @@ def descend(graph: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
     return merged(known.union(found), n)
 
 
-def build(nodes: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """The neighbour graph of all nodes."""
+def build(nodes: DataFrame) -> DataFrame:
+    """The neighbour graph of all nodes, improved until the lists hardly change."""
     n = nodes.count()
     graph = start(nodes, n)
-    for _ in range(rounds if n > SMALL else 0):
+    settled = n <= SMALL
+    while not settled:
         graph = descend(graph, nodes, n)
+        fresh, held = graph.agg(F.sum(F.size(F.filter("new", lambda x: x))), F.sum(F.size("new"))).first()
+        settled = (fresh or 0) <= SETTLED * (held or 0)
     return graph
 
 
-def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, k: int, beam: int = BEAM, steps: int = STEPS) -> DataFrame:
+def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, k: int, beam: int = BEAM) -> DataFrame:
     """The nearest nodes met for each query (``query_id``, node ``id``): ``query_id``, ``id``, ``score``."""
     n = queries.count()
     blocks, splits = max(1, -(-n // QUERY_BLOCK)), 8
@@ -237,7 +240,8 @@ def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, k: int, beam:
     met = queries.select("query_id", "id", F.lit(0.0).alias("score"), F.lit(False).alias("expanded"))
     norm = F.aggregate("x", F.lit(0.0), lambda a, x: a + x * x)
     entries = [r["id"] for r in nodes.select("id", norm.alias("norm")).orderBy(F.desc("norm"), "id").limit(ENTRIES).collect()]
-    for step in range(steps):
+    step, left = 0, True
+    while left:
         front = met.filter("not expanded").select("query_id", "id")
         pairs = front.join(graph.select("id", "near"), "id").select("query_id", F.explode("near").alias("id"))
         if step == 0:
@@ -253,6 +257,7 @@ def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, k: int, beam:
         both = both.union(met.withColumn("expanded", F.lit(True))) if step else both
         both = both.groupBy("query_id", "id").agg(F.max("score").alias("score"), F.bool_or("expanded").alias("expanded"))
         met = durable(both.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= width).drop("rank"))
+        step, left = step + 1, not met.filter("not expanded").isEmpty()
     return met.select("query_id", "id", "score")
 
 

@@ -276,6 +276,28 @@ def test_nn_descent_beam_holds_each_node_once(spark, monkeypatch):
     assert met and len(met) == len(set(met))
 
 
+def test_nn_descent_builds_until_settled(spark, monkeypatch):
+    _, frame = _vectors(spark, np.random.default_rng(6), 200)
+    monkeypatch.setattr(nn_descent, "SMALL", 64)
+    rounds = []
+
+    def descend(graph, nodes, n):
+        rounds.append(n)
+        return graph.withColumn("new", F.transform("new", lambda x: F.lit(len(rounds) < 7)))
+
+    monkeypatch.setattr(nn_descent, "descend", descend)
+    nn_descent.build(nn_descent.nodes_of(frame)[0])
+    assert len(rounds) == 7
+
+
+def test_nn_descent_searches_until_expanded(spark, monkeypatch):
+    monkeypatch.setattr(nn_descent, "ENTRIES", 0)
+    nodes = spark.createDataFrame([(i, [float(i + 1)]) for i in range(8)], "id long, x array<double>")
+    graph = spark.createDataFrame([(i, [j for j in (i - 1, i + 1) if 0 <= j < 8]) for i in range(8)], "id long, near array<long>")
+    met = nn_descent.search(graph, nodes, spark.createDataFrame([(0, 0)], "query_id long, id long"), 3)
+    assert {r["id"] for r in met.collect()} == set(range(8))
+
+
 def test_preference_pairs(spark):
     turns = [(1, 0, "user", "Q"), (1, 1, "assistant", "A"), (1, 2, "user", "R"), (1, 3, "assistant", "B")]
     turns += [(2, 0, "user", "Q"), (2, 1, "assistant", "A"), (2, 2, "user", "R"), (2, 3, "assistant", "C")]
