@@ -208,13 +208,13 @@ def stake_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def boosted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted ratio class of each block."""
     rows = learning.block_features(_table(spark, sf_dir, "documents"))
-    return learning.boosted_trees(rows, trees=10).transform(rows).select("slot", F.round("prediction", 6).alias("prediction"), F.least(F.lit(5), F.greatest(F.lit(0), F.round("prediction").cast("int"))).alias("class"))
+    return learning.boosted_trees(rows).transform(rows).select("slot", F.round("prediction", 6).alias("prediction"), F.least(F.lit(5), F.greatest(F.lit(0), F.round("prediction").cast("int"))).alias("class"))
 
 
 @query("ml7_feature_importance")
 def importances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of each input in the splits' gain."""
-    model = learning.boosted_trees(learning.block_features(_table(spark, sf_dir, "documents")), trees=5)
+    model = learning.boosted_trees(learning.block_features(_table(spark, sf_dir, "documents")))
     return spark.createDataFrame([(n, float(v)) for n, v in zip(learning.INPUTS, model.featureImportances.toArray(), strict=True)], "feature string, importance double")
 
 

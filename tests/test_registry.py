@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from ledgerlake.operators import learning
 from ledgerlake.plans import registry
 from ledgerlake.sources.relations import TABLES
 
@@ -38,3 +39,17 @@ def test_has_rows(spark, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("name", ["ml5_boosted_trees", "ml7_feature_importance"])
+def test_boosted_trees_run_all_rounds(spark, monkeypatch, name):
+    class Seen(Exception):
+        pass
+
+    def fit(self, rows):
+        raise Seen(self.getMaxIter(), self.getMaxDepth())
+
+    monkeypatch.setattr(learning.GBTRegressor, "fit", fit)
+    with pytest.raises(Seen) as seen:
+        registry.QUERIES[name](spark, SF)
+    assert seen.value.args == (100, 6)
