@@ -2,29 +2,36 @@
 
 Build.  Every distinct vector is a node.  Its first neighbours come from blocks
 of vectors on the same side of random hyperplanes.  Each round then joins, for
-every node, its neighbours and the nodes that hold it as a neighbour: any two
-of them, at least one new since the last round, are compared, and either
+every node, its neighbours and up to ``REVERSE`` nodes that hold it as a neighbour:
+any two of them, at least one new since the last round, are compared, and either
 enters the other's list if it is nearer than the last one there.  Rounds end when
-at most a thousandth of the list entries is new.  They are Spark joins: lists are joined with the vectors they name, once per task, and what is
-found is merged by the node that it is for.
-
-Search.  A query is a node.  It keeps a beam of the nearest nodes met; each round
-joins the beam's nodes not yet expanded with their neighbour lists and scores
-those, until all of the beam are expanded.  Scores are exact inner products in double precision.
-
-Vectors of unequal length are brought to one by a further component, so that the
-largest inner product is the nearest node.
-
-Scale.  A round moves each list and each vector a bounded number of times
-(neighbours per node are the method's own bound); blocks have a bounded size, as
-larger sides of the hyperplanes are dealt at random.  Of equal vectors one is a
-node; results are widened to their k + 1 smallest ids, so a group of copies costs
-nothing.  Recall is measured against brute force in the tests.
+at most the share ``SETTLED`` of the list entries is new.  They are Spark joins:
+lists are joined with the vectors they name, once per task, and what is found is
+merged by the task of the node that it is for.
+
+Search.  A node that is asked for keeps a beam of the nearest nodes met, at first
+its own list and a few long vectors; each step joins the lists of those not yet
+expanded with the vectors they name and scores them, until all of the beam are
+expanded.  At the end the beam is scored in double precision.
+
+Vectors of unequal norm are brought to one by a further component, so that the
+largest inner product is the nearest node.  Vectors of unequal length are never
+compared; all lengths are indexed.
+
+Scale.  A round moves each list a bounded number of times (neighbours per node are
+the method's own bound) and each vector once to every task with a node near
+it: tasks are made of nodes on the same side of hyperplanes, so that these are few.
+Blocks have a bounded size, as larger sides are dealt at random.  Hyperplanes pass
+through the mean of at most ``SAMPLE`` vectors; this and the ids of the first nodes
+of every search are all that the driver gets.  Of equal vectors one is a node, and
+it is searched once; results are widened to its k + 1 smallest ids, so a group of
+copies costs a row each.  Recall is measured against brute force in the tests.
 
 Cases.  Vectors that are null, zero, or hold null, NaN or infinity take no part.
 Rows with the query's id never answer it.  Fewer candidates than k are all
-returned if the graph reaches them; up to ``SMALL`` nodes all are scored.  Only
-vectors of the commonest length are indexed.  Only the id and vector columns are read.
+returned: a search starts from k + 1 nodes at least.  Of several vectors of one
+query id the one with the smallest node id is asked.  Products beyond the range of
+doubles are infinite.  Only the id and vector columns are read.
 """
 
 from __future__ import annotations
@@ -42,37 +49,42 @@ from ledgerlake.llm.vafile import usable
 NEIGHBOURS = 40
 REVERSE = 40
 #: Rounds end when at most this share of the list entries is new.
-SETTLED = 0.001
-PLANES = 2
+SETTLED = 0.01
+#: Sets of hyperplanes, each of which cuts the vectors into blocks of about ``LEAF``.
+TREES = 8
 LEAF = 256
-BEAM = 160
-#: Longest vectors, from which every search starts besides the query's own place.
-ENTRIES = 64
-#: Nodes of a task in the local joins, and queries of a task in the search.
+#: Vectors whose mean the hyperplanes pass through.
+SAMPLE = 2048
+BEAM = 128
+#: Longest vectors, from which every search starts besides its own list.
+ENTRIES = 32
+#: Nodes of a task in the local joins, and searches of a task.
 BLOCK = 2048
-QUERY_BLOCK = 512
-#: With so many nodes at most, a leaf holds them all and the graph is complete.
-SMALL = 512
+QUERY_BLOCK = 128
+#: Pairs that a local join holds before it keeps the best of them.
+PAIRS = 1_500_000
 
 
 def _together(left: DataFrame, right: DataFrame, key: str):
-    return left.toDF(*left.columns).groupBy(key).cogroup(right.toDF(*right.columns).groupBy(key))
+    """Both sides grouped by ``key``, in as many partitions as the session sets: tasks are few and long, small as their rows are."""
+    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return left.toDF(*left.columns).repartition(parts, key).groupBy(key).cogroup(right.toDF(*right.columns).repartition(parts, key).groupBy(key))
 
 
-def _vectors(column: pa.ChunkedArray) -> np.ndarray:
-    data = column.to_pylist()
-    return np.frombuffer(b"".join(data), dtype=np.float32).reshape(len(data), -1) if data else np.empty((0, 1), dtype=np.float32)
+def _matrix(packed: list[bytes]) -> np.ndarray:
+    """Packed vectors of one length as rows."""
+    return np.frombuffer(b"".join(packed), dtype=np.float32).reshape(len(packed), -1) if packed else np.empty((0, 1), dtype=np.float32)
 
 
 def _lists(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Flat values and the length of each list."""
     c = column.combine_chunks()
     c = c.chunk(0) if isinstance(c, pa.ChunkedArray) else c
-    return c.flatten().to_numpy(zero_copy_only=False), c.value_lengths().to_numpy(zero_copy_only=False)
+    return c.flatten().to_numpy(zero_copy_only=False), c.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
 
 
-def _best(u: np.ndarray, v: np.ndarray, sim: np.ndarray, old: np.ndarray, k: int) -> pa.Table:
-    """The k nearest distinct v of each u as lists; ``old`` marks those known before, which stay so."""
+def _best(u: np.ndarray, v: np.ndarray, sim: np.ndarray, old: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """The k nearest distinct v of each u, u ascending and nearest first; ``old`` marks those known before, which stay so."""
     order = np.lexsort((~old, v, u))
     u, v, sim, old = u[order], v[order], sim[order], old[order]
     one = np.ones(len(u), dtype=bool)
@@ -80,185 +92,261 @@ def _best(u: np.ndarray, v: np.ndarray, sim: np.ndarray, old: np.ndarray, k: int
     u, v, sim, old = u[one], v[one], sim[one], old[one]
     order = np.lexsort((v, -sim, u))
     u, v, sim, old = u[order], v[order], sim[order], old[order]
-    ids, first, counts = np.unique(u, return_index=True, return_counts=True)
-    keep = np.arange(len(u)) - np.repeat(first, counts) < k
-    ends = pa.array(np.concatenate([[0], np.cumsum(np.minimum(counts, k))]).astype(np.int32))
+    first = np.flatnonzero(np.concatenate([[True], u[1:] != u[:-1]])) if len(u) else np.empty(0, dtype=np.int64)
+    keep = np.arange(len(u)) - np.repeat(first, np.diff(np.concatenate([first, [len(u)]]))) < k
+    return u[keep], v[keep], sim[keep], old[keep]
 
-    def lists(x: np.ndarray) -> pa.Array:
-        return pa.ListArray.from_arrays(ends, pa.array(x[keep]))
 
-    return pa.table({"id": ids, "near": lists(v), "sim": lists(sim.astype(np.float32)), "new": lists(~old)})
+def _as_lists(counts: np.ndarray, values: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(values))
 
 
-_GRAPH = "id long, near array<long>, sim array<float>, new array<boolean>"
+_FOUND = "task long, id long, near array<long>, sim array<float>"
+_GRAPH = "task long, id long, v binary, near array<long>, sim array<float>, new array<boolean>"
+
+
+def _found(ids: np.ndarray, tasks: np.ndarray, u: np.ndarray, v: np.ndarray, sim: np.ndarray) -> pa.Table:
+    """Lists of what was found, by the node it is for; u and v are places in ``ids``."""
+    own, counts = np.unique(u, return_counts=True)
+    return pa.table({"task": tasks[own], "id": ids[own], "near": _as_lists(counts, ids[v]), "sim": _as_lists(counts, sim.astype(np.float32))})
 
 
 def nodes_of(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes (``id``, ``x`` as double array, ``v`` as packed unit vector) and the ``copies`` (``id``, ``vec_id``) of each."""
+    """Nodes (``task``, ``id``, ``d``, ``x`` as double array, ``v`` as packed unit vector) and the ``copies`` (``id``, ``vec_id``) of each."""
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: x.cast("double")).alias("x"))
-    rows = rows.filter(F.col("vec_id").isNotNull() & usable(F.col("x")) & F.exists("x", lambda x: x != 0))
-    dims = rows.groupBy(F.size("x").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    rows = rows.filter(F.size("x") == (dims["d"] if dims else 0)).distinct()
-    norm = F.aggregate("x", F.lit(0.0), lambda a, x: a + x * x)
-    top = rows.agg(F.max(norm)).first()[0] or 1.0
-    nodes = rows.groupBy("x").agg(F.min("vec_id").alias("id"))
+    rows = rows.filter(F.col("vec_id").isNotNull() & usable(F.col("x")) & F.exists("x", lambda x: x != 0)).distinct()
+    nodes = durable(rows.groupBy("x").agg(F.min("vec_id").alias("id")).select("id", "x"))
+    widest = nodes.agg(F.max(F.array_max(F.transform("x", F.abs)))).first()[0] or 1.0
+    scaled = F.transform("x", lambda x: x / F.lit(widest))
+    top = nodes.agg(F.max(F.aggregate(scaled, F.lit(0.0), lambda a, x: a + x * x))).first()[0] or 1.0
+    lengths = {r["d"]: r["count"] for r in nodes.groupBy(F.size("x").alias("d")).count().orderBy(F.desc("count"), "d").limit(1000).collect()}
+    sample = nodes.select("id", "x").orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()
+    means = {d: np.mean([_unit(np.array([r["x"]]) / widest, top)[0] for r in sample if len(r["x"]) == d] or [np.zeros(d + 1)], axis=0).astype(np.float32) for d in lengths}
 
     def pack(batches):
         for batch in batches:
-            x = np.array(batch.column(1).to_pylist(), dtype=np.float64)
-            rest = np.sqrt(np.maximum(0, top - (x * x).sum(1)))[:, None]
-            v = (np.concatenate([x, rest], axis=1) / math.sqrt(top)).astype(np.float32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([r.tobytes() for r in v], pa.binary())], names=["id", "x", "v"])
+            v, code, xs = [], [], batch.column(1).to_pylist()
+            for x in xs:
+                u = _unit(np.array([x]) / widest, top)
+                v.append(u[0].tobytes())
+                code.append(int(codes(u, 0, BLOCK, lengths, means)[0]))
+            sizes = pa.array([len(x) for x in xs], pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), sizes, batch.column(1), pa.array(v, pa.binary()), pa.array(code, pa.int64())], names=["id", "d", "x", "v", "code"])
 
-    nodes = durable(nodes.select("id", "x").mapInArrow(pack, "id long, x array<double>, v binary"))
-    copies = rows.join(nodes.select("id", "x"), "x").select("id", "vec_id")
-    return nodes, copies
+    packed = durable(nodes.mapInArrow(pack, "id long, d int, x array<double>, v binary, code long"))
+    parts = packed.groupBy("d", "code").agg(F.ceil(F.count(F.lit(1)) / (2 * BLOCK)).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64(F.lit(1), "id"), F.col("parts"))
+    placed = durable(packed.join(parts, ["d", "code"]).select(F.xxhash64("d", "code", part).alias("task"), "id", "d", "x", "v"))
+    placed.cuts = (lengths, means)
+    copies = rows.join(nodes, "x").select("id", "vec_id")
+    return placed, copies
 
 
-def start(nodes: DataFrame, n: int, seed: int = 5) -> DataFrame:
-    """The graph of nearest neighbours within random blocks."""
-    bits = max(0, math.ceil(math.log2(max(1, n) / LEAF))) if n > SMALL else 0
+def _unit(x: np.ndarray, top: float) -> np.ndarray:
+    """Vectors with a further component that brings all to one norm."""
+    rest = np.sqrt(np.maximum(0, top - (x * x).sum(1)))[:, None]
+    return (np.concatenate([x, rest], axis=1) / math.sqrt(top)).astype(np.float32)
+
+
+def codes(v: np.ndarray, tree: int, block: int, lengths: dict[int, int], means: dict[int, np.ndarray], seed: int = 5) -> np.ndarray:
+    """On which sides of a tree's hyperplanes vectors of one length lie; blocks of about ``block``."""
+    d = v.shape[1] - 1
+    bits = max(0, math.ceil(math.log2(max(1, lengths.get(d, 1)) / block)))
+    planes = np.random.default_rng([seed, tree, d]).normal(size=(d + 1, bits)).astype(np.float32)
+    return (((v - means[d]) @ planes > 0).astype(np.int64) << np.arange(bits)).sum(axis=1) if bits else np.zeros(len(v), dtype=np.int64)
+
+
+def start(nodes: DataFrame) -> DataFrame:
+    """The graph of nearest neighbours within blocks of all trees."""
+    lengths, means = nodes.cuts
 
     def sides(batches):
         for batch in batches:
-            v = _vectors(pa.chunked_array([batch.column(1)]))
-            for p in range(PLANES if bits else 1):
-                plane = np.random.default_rng(seed + p).normal(size=(v.shape[1], bits)).astype(np.float32)
-                side = ((v @ plane > 0).astype(np.int64) << np.arange(bits)).sum(axis=1) if len(v) else np.empty(0, np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(side * PLANES + p)], names=["id", "v", "leaf"])
-
-    placed = nodes.select("id", "v").mapInArrow(sides, "id long, v binary, leaf long")
-    parts = placed.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / (2 * LEAF)).cast("int").alias("parts")) if n > SMALL else placed.select("leaf").distinct().withColumn("parts", F.lit(1))
-    dealt = placed.join(parts, "leaf").withColumn("part", F.pmod(F.xxhash64(F.lit(seed), "id", "leaf"), F.col("parts")))
+            packed, d = batch.column(2).to_pylist(), batch.column(3).to_numpy()
+            for own in np.unique(d):
+                rows = np.flatnonzero(d == own)
+                v = _matrix([packed[i] for i in rows])
+                few = batch.take(pa.array(rows))
+                for tree in range(TREES):
+                    leaf = codes(v, tree + 1, LEAF, lengths, means) * TREES + tree
+                    yield pa.RecordBatch.from_arrays([few.column(0), few.column(1), few.column(2), few.column(3), pa.array(leaf)], names=["task", "id", "v", "d", "leaf"])
+
+    placed = nodes.select("task", "id", "v", "d").mapInArrow(sides, "task long, id long, v binary, d int, leaf long")
+    parts = placed.groupBy("d", "leaf").agg(F.ceil(F.count(F.lit(1)) / (2 * LEAF)).cast("int").alias("parts"))
+    dealt = placed.join(parts, ["d", "leaf"]).withColumn("part", F.pmod(F.xxhash64(F.lit(2), "id", "leaf"), F.col("parts")))
 
     def near(t: pa.Table) -> pa.Table:
-        ids, v = t.column("id").to_numpy(), _vectors(t.column("v"))
+        ids, v = t.column("id").to_numpy(), _matrix(t.column("v").to_pylist())
         sim = v @ v.T
         np.fill_diagonal(sim, -np.inf)
         k = min(NEIGHBOURS, len(ids) - 1)
         c = np.argpartition(-sim, k - 1, axis=1)[:, :k] if k > 0 else np.empty((len(ids), 0), dtype=np.int64)
         r = np.repeat(np.arange(len(ids)), k)
-        return _best(ids[r], ids[c.ravel()], np.take_along_axis(sim, c, 1).ravel(), np.zeros(len(r), dtype=bool), NEIGHBOURS)
+        return _found(ids, t.column("task").to_numpy(), r, c.ravel(), np.take_along_axis(sim, c, 1).ravel())
 
-    return merged(dealt.groupBy("leaf", "part").applyInArrow(near, _GRAPH), n)
+    empty = nodes.select("task", "id", "v", F.expr("cast(array() as array<long>)").alias("near"), F.expr("cast(array() as array<float>)").alias("sim"), F.expr("cast(array() as array<boolean>)").alias("new"))
+    return merged(empty, dealt.groupBy("d", "leaf", "part").applyInArrow(near, _FOUND))
 
 
-def merged(lists: DataFrame, n: int) -> DataFrame:
-    """The nearest of all lists of each node."""
+def merged(known: DataFrame, found: DataFrame) -> DataFrame:
+    """The known lists with what was found for them; ``new`` marks entries that were not known."""
 
-    def best(t: pa.Table) -> pa.Table:
-        (near, counts), (sim, _), (new, _) = (_lists(t.column(c)) for c in ("near", "sim", "new"))
-        return _best(np.repeat(t.column("id").to_numpy(), counts), near, sim, ~new.astype(bool), NEIGHBOURS)
+    def best(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids = left.column("id").to_numpy()
+        order = np.argsort(ids)
+        (near, n), (sim, _) = (_lists(left.column(c)) for c in ("near", "sim"))
+        (more, m), (msim, _) = (_lists(right.column(c)) for c in ("near", "sim"))
+        at = order[np.searchsorted(ids[order], right.column("id").to_numpy())] if right.num_rows else np.empty(0, dtype=np.int64)
+        old = np.concatenate([np.ones(len(near), dtype=bool), np.zeros(len(more), dtype=bool)])
+        u, v, s, old = _best(np.concatenate([np.repeat(np.arange(len(ids)), n), np.repeat(at, m)]), np.concatenate([near, more]), np.concatenate([sim, msim]).astype(np.float32), old, NEIGHBOURS)
+        counts = np.bincount(u, minlength=len(ids))
+        return pa.table({"task": left.column("task"), "id": left.column("id"), "v": left.column("v"), "near": _as_lists(counts, v.astype(np.int64)), "sim": _as_lists(counts, s), "new": _as_lists(counts, ~old)})
 
-    tasks = max(1, n // BLOCK)
-    return durable(lists.groupBy(F.pmod(F.xxhash64("id"), F.lit(tasks)).alias("task")).applyInArrow(best, _GRAPH))
+    return durable(_together(known, found, "task").applyInArrow(best, _GRAPH))
 
 
-def descend(graph: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
+def descend(graph: DataFrame) -> DataFrame:
     """One round: neighbours of neighbours are compared, lists take what is nearer."""
-    tasks = max(1, n // BLOCK)
     edges = graph.select("id", F.explode(F.arrays_zip("near", "sim", "new")).alias("e")).select("id", F.col("e.near").alias("to"), F.col("e.sim").alias("sim"), F.col("e.new").alias("new"))
     back = Window.partitionBy("to").orderBy(F.desc("sim"), "id")
-    reverse = edges.withColumn("rank", F.row_number().over(back)).filter(F.col("rank") <= REVERSE).select(F.col("to").alias("hub"), F.col("id").alias("member"), "new")
-    around = edges.select(F.col("id").alias("hub"), F.col("to").alias("member"), "new").union(reverse)
-    task = F.pmod(F.xxhash64("hub"), F.lit(tasks)).alias("task")
-    around = durable(around.select(task, "hub", "member", "new"))
-    last = graph.select("id", F.when(F.size("sim") >= NEIGHBOURS, F.element_at("sim", -1)).otherwise(F.lit(-2.0)).cast("float").alias("least"))
-    held = around.select("task", F.col("member").alias("id")).distinct().join(nodes.select("id", "v"), "id").join(last, "id")
+    reverse = edges.withColumn("rank", F.row_number().over(back)).filter(F.col("rank") <= REVERSE)
+    reverse = reverse.groupBy(F.col("to").alias("id")).agg(F.collect_list("id").alias("from"), F.collect_list("new").alias("fresh"))
+    around = graph.select("task", "id", "near", "new").join(reverse, "id", "left")
+    around = durable(around.select("task", F.concat("near", F.coalesce("from", F.expr("array()"))).alias("members"), F.concat("new", F.coalesce("fresh", F.expr("array()"))).alias("fresh")).filter(F.exists("fresh", lambda x: x)))
+    last = F.when(F.size("sim") >= NEIGHBOURS, F.element_at("sim", -1)).otherwise(F.lit(-2.0)).cast("float")
+    wanted = around.select(F.col("task").alias("hubs"), F.explode("members").alias("id")).distinct()
+    held = wanted.join(graph.select("id", F.col("task").alias("home"), "v", last.alias("least")), "id").withColumnRenamed("hubs", "task")
 
     def compare(t: pa.Table, vectors: pa.Table) -> pa.Table:
-        ids, v, least = vectors.column("id").to_numpy(), _vectors(vectors.column("v")), vectors.column("least").to_numpy()
+        ids, home, v, least = vectors.column("id").to_numpy(), vectors.column("home").to_numpy(), _matrix(vectors.column("v").to_pylist()), vectors.column("least").to_numpy()
         order = np.argsort(ids)
-        ids, v, least = ids[order], v[order], least[order]
-        hub, new = t.column("hub").to_numpy(), t.column("new").to_numpy(zero_copy_only=False).astype(bool)
-        place = np.searchsorted(ids, t.column("member").to_numpy())
-        order = np.lexsort((~new, place, hub))
-        hub, place, new = hub[order], place[order], new[order]
-        cuts = np.flatnonzero(hub[1:] != hub[:-1]) + 1
-        us, vs, ss = [], [], []
-        for p, fresh in zip(np.split(place, cuts), np.split(new, cuts), strict=True):
-            p, first = np.unique(p, return_index=True)
-            fresh = fresh[first]
-            if not fresh.any():
-                continue
+        (member, counts), (fresh, _) = _lists(t.column("members")), _lists(t.column("fresh"))
+        place, fresh, ends = order[np.searchsorted(ids[order], member)], fresh.astype(bool), np.cumsum(counts)
+        kept = [np.empty(0, dtype=d) for d in (np.int64, np.int64, np.float32)]
+        held, size = [], 0
+
+        def keep(kept):
+            u, w, s = (np.concatenate([a, *b]) for a, b in zip(kept, zip(*held, strict=True), strict=True))
+            return list(_best(u, w, s, np.zeros(len(u), dtype=bool), NEIGHBOURS)[:3])
+
+        for a, b in zip((ends - counts).tolist(), ends.tolist(), strict=True):
+            p, new = place[a:b], fresh[a:b]
+            order = np.lexsort((~new, p))
+            p, new = p[order], new[order]
+            one = np.concatenate([[True], p[1:] != p[:-1]])
+            p, new = p[one], new[one]
             x = v[p]
             sim = x @ x.T
             np.fill_diagonal(sim, -3)
-            a, b = np.nonzero((sim > least[p][:, None]) & (fresh[:, None] | fresh[None, :]))
-            us.append(p[a])
-            vs.append(p[b])
-            ss.append(sim[a, b])
-        if not us:
-            return _best(*(np.empty(0, dtype=d) for d in (np.int64, np.int64, np.float32, bool)), NEIGHBOURS)
-        u, w, s = np.concatenate(us), np.concatenate(vs), np.concatenate(ss)
-        return _best(ids[u], ids[w], s, np.zeros(len(u), dtype=bool), NEIGHBOURS)
+            i, j = np.nonzero((sim > least[p][:, None]) & (new[:, None] | new[None, :]))
+            held.append((p[i], p[j], sim[i, j]))
+            size += len(i)
+            if size > PAIRS:
+                kept, held[:], size = keep(kept), [], 0
+        if held:
+            kept = keep(kept)
+        return _found(ids, home, *kept)
 
-    found = _together(around, held, "task").applyInArrow(compare, _GRAPH)
-    known = graph.withColumn("new", F.transform("new", lambda x: F.lit(False)))
-    return merged(known.union(found), n)
+    found = _together(around, held, "task").applyInArrow(compare, _FOUND)
+    return merged(graph.withColumn("new", F.transform("new", lambda x: F.lit(False))), found)
 
 
 def build(nodes: DataFrame) -> DataFrame:
     """The neighbour graph of all nodes, improved until the lists hardly change."""
-    n = nodes.count()
-    graph = start(nodes, n)
-    settled = n <= SMALL
+    graph, settled = start(nodes), False
     while not settled:
-        graph = descend(graph, nodes, n)
+        graph = descend(graph)
         fresh, held = graph.agg(F.sum(F.size(F.filter("new", lambda x: x))), F.sum(F.size("new"))).first()
         settled = (fresh or 0) <= SETTLED * (held or 0)
     return graph
 
 
+_STATE = "task long, query long, q binary, beam array<long>, scores array<float>, want array<long>"
+
+
 def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, k: int, beam: int = BEAM) -> DataFrame:
-    """The nearest nodes met for each query (``query_id``, node ``id``): ``query_id``, ``id``, ``score``."""
-    n = queries.count()
-    blocks, splits = max(1, -(-n // QUERY_BLOCK)), 8
+    """The nearest nodes met for each node asked (``id``): ``query``, ``id``, ``score``."""
     width = max(beam, k + 1)
-    qb = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("qb")
-    cb = F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(splits)).cast("int").alias("cb")
-    asked = queries.join(nodes.select("id", "x"), "id").select("query_id", qb, "x")
-    asked = durable(asked.withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(splits - 1)))).withColumn("task", F.col("qb") * splits + F.col("cb")))
-
-    def score(pairs: pa.Table, vectors: pa.Table) -> pa.Table:
-        q, c = pairs.column("query_id").to_numpy(), pairs.column("id").to_numpy()
-        kind = vectors.column("kind").to_numpy(zero_copy_only=False)
-        ids = vectors.column("id").to_numpy()
-        flat, _ = _lists(vectors.column("x"))
-        x = flat.reshape(len(ids), -1)
-        out = []
-        for t, want in ((0, q), (1, c)):
-            rows = np.flatnonzero(kind == t)
-            order = rows[np.argsort(ids[rows])]
-            out.append(order[np.searchsorted(ids[order], want)])
-        s = np.empty(len(q))
-        for a in range(0, len(q), 100_000):
-            s[a : a + 100_000] = np.einsum("ij,ij->i", x[out[0][a : a + 100_000]], x[out[1][a : a + 100_000]])
-        return pa.table({"query_id": q, "id": c, "score": s})
-
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    met = queries.select("query_id", "id", F.lit(0.0).alias("score"), F.lit(False).alias("expanded"))
     norm = F.aggregate("x", F.lit(0.0), lambda a, x: a + x * x)
-    entries = [r["id"] for r in nodes.select("id", norm.alias("norm")).orderBy(F.desc("norm"), "id").limit(ENTRIES).collect()]
-    step, left = 0, True
+    entries = [r["id"] for r in nodes.select("id", norm.alias("norm")).orderBy(F.desc("norm"), "id").limit(max(ENTRIES, k + 1)).collect()]
+    asked = graph.join(queries.select("id").distinct(), "id", "left_semi")
+    parts = asked.groupBy("task").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("int").alias("parts"))
+    block = F.xxhash64("task", F.pmod(F.xxhash64(F.lit(3), "id"), F.col("parts")))
+    first = F.array_distinct(F.concat("near", F.array(F.col("id")), F.array(*map(F.lit, entries)) if entries else F.expr("array()")))
+    none = F.expr("cast(array() as array<long>)"), F.expr("cast(array() as array<float>)")
+    state = durable(asked.join(parts, "task").select(block.alias("task"), F.col("id").alias("query"), F.col("v").alias("q"), none[0].alias("beam"), none[1].alias("scores"), first.alias("want")))
+    lists = graph.select("id", "v", "near")
+
+    def step(t: pa.Table, got: pa.Table) -> pa.Table:
+        ids, packed = got.column("id").to_numpy(), got.column("v").to_pylist()
+        order = np.argsort(ids)
+        ids, near = ids[order], got.column("near").combine_chunks()
+        near = near.chunk(0) if isinstance(near, pa.ChunkedArray) else near
+        flat, ends = near.flatten().to_numpy(), np.cumsum(near.value_lengths().to_numpy())
+        starts = ends - near.value_lengths().to_numpy()
+        lengths = np.array([len(b) for b in packed])
+        by_length = {n: (own := np.flatnonzero(lengths == n), _matrix([packed[i] for i in own])) for n in set(lengths.tolist())}
+        spot = np.zeros(len(packed), dtype=np.int64)
+        for own, _ in by_length.values():
+            spot[own] = np.arange(len(own))
+        beams, scores, wants = [], [], []
+        (beam, n), (score, _), (want, m) = (_lists(t.column(c)) for c in ("beam", "scores", "want"))
+        n, m = np.cumsum(n), np.cumsum(m)
+        want_rows = order[np.searchsorted(ids, want)] if len(want) else want
+        for i, q in enumerate(t.column("q").to_pylist()):
+            b, s = (x[n[i - 1] if i else 0 : n[i]] for x in (beam, score))
+            w, rows = (x[m[i - 1] if i else 0 : m[i]] for x in (want, want_rows))
+            if not len(w):  # this search is over
+                beams.append(b)
+                scores.append(s)
+                wants.append(w)
+                continue
+            x = np.frombuffer(q, dtype=np.float32).copy()
+            x[-1] = 0  # the inner product, not the distance of the nodes
+            alike = lengths[rows] == len(q)
+            w, rows = w[alike], rows[alike]
+            own = by_length[len(q)][1][spot[rows]] @ x if len(w) else np.empty(0, dtype=np.float32)
+            every, score_ = np.concatenate([b, w]), np.concatenate([s, own])
+            fresh = np.concatenate([np.full(len(b), -1, dtype=np.int64), rows])
+            best = np.lexsort((every, -score_))[:width]
+            every, fresh = every[best], fresh[best]
+            out = [flat[starts[r] : ends[r]] for r in fresh[fresh >= 0].tolist()]
+            beams.append(every)
+            scores.append(score_[best])
+            wants.append(np.setdiff1d(np.concatenate(out), every) if out else np.empty(0, dtype=np.int64))
+        cols = {"task": t.column("task"), "query": t.column("query"), "q": t.column("q")}
+        for name, values, kind in (("beam", beams, np.int64), ("scores", scores, np.float32), ("want", wants, np.int64)):
+            cols[name] = _as_lists(np.array([len(x) for x in values], dtype=np.int64), np.concatenate(values).astype(kind) if values else np.empty(0, dtype=kind))
+        return pa.table(cols)
+
+    left = True
     while left:
-        front = met.filter("not expanded").select("query_id", "id")
-        pairs = front.join(graph.select("id", "near"), "id").select("query_id", F.explode("near").alias("id"))
-        if step == 0:
-            pairs = pairs.union(front)
-            if entries:
-                pairs = pairs.union(front.select("query_id", F.explode(F.array(*map(F.lit, entries))).alias("id")))
-        pairs = pairs.distinct()
-        pairs = durable(pairs.select("query_id", "id", qb, cb).withColumn("task", F.col("qb") * splits + F.col("cb")))
-        wanted = pairs.select("task", "id").distinct().join(nodes.select("id", "x"), "id").select("task", F.lit(1).alias("kind"), "id", "x")
-        wanted = wanted.union(asked.select("task", F.lit(0).alias("kind"), F.col("query_id").alias("id"), "x"))
-        scored = _together(pairs, wanted, "task").applyInArrow(score, "query_id long, id long, score double")
-        both = scored.withColumn("expanded", F.lit(False))
-        both = both.union(met.withColumn("expanded", F.lit(True))) if step else both
-        both = both.groupBy("query_id", "id").agg(F.max("score").alias("score"), F.bool_or("expanded").alias("expanded"))
-        met = durable(both.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= width).drop("rank"))
-        step, left = step + 1, not met.filter("not expanded").isEmpty()
-    return met.select("query_id", "id", "score")
+        # the beams of searches that are over wait with an empty want
+        wanted = state.select("task", F.explode("want").alias("id")).distinct().join(lists, "id")
+        state = durable(_together(state, wanted.select("task", "id", "v", "near"), "task").applyInArrow(step, _STATE))
+        left = not state.filter(F.size("want") > 0).isEmpty()
+
+    exact = state.select("task", F.explode(F.concat("beam", F.array("query"))).alias("id")).distinct().join(nodes.select("id", "x"), "id").select("task", "id", "x")
+
+    def score(t: pa.Table, vectors: pa.Table) -> pa.Table:
+        ids = vectors.column("id").to_numpy()
+        order = np.argsort(ids)
+        xs = vectors.column("x").combine_chunks()
+        xs = xs.chunk(0) if isinstance(xs, pa.ChunkedArray) else xs
+        flat, n = xs.flatten().to_numpy(), xs.value_lengths().to_numpy()
+        at = np.cumsum(n) - n
+        out = {"query": [], "id": [], "score": []}
+        for q, b in zip(t.column("query").to_pylist(), t.column("beam").to_pylist(), strict=True):
+            i = order[np.searchsorted(ids[order], q)]
+            rows = order[np.searchsorted(ids[order], b)]
+            with np.errstate(over="ignore", invalid="ignore"):
+                s = flat[at[rows][:, None] + np.arange(n[i])] @ flat[at[i] : at[i] + n[i]]
+            out["query"] += [q] * len(b)
+            out["id"] += b
+            out["score"] += s.tolist()
+        return pa.table(out, schema=pa.schema([("query", pa.int64()), ("id", pa.int64()), ("score", pa.float64())]))
+
+    return _together(state.select("task", "query", "beam"), exact, "task").applyInArrow(score, "query long, id long, score double")
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
@@ -269,7 +357,12 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     queries = durable(copies.filter(is_query).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("id").alias("id")))
     met = search(graph, nodes, queries, k)
     few = copies.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy("vec_id"))).filter(F.col("n") <= k + 1).drop("n")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    wide = met.join(few, "id").filter(F.col("vec_id") != F.col("query_id"))
-    wide = wide.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    return wide.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    best = met.join(few, "id").groupBy("query", "vec_id").agg(F.max("score").alias("score"))
+
+    def ranked(rows: DataFrame, key: str, most: int) -> DataFrame:
+        order = Window.partitionBy(key).orderBy(F.desc("score"), "vec_id")
+        return rows.withColumn("rank", F.row_number().over(order).cast("int")).filter(F.col("rank") <= most)
+
+    best = ranked(best, "query", k + 1).drop("rank")
+    wide = queries.select("query_id", F.col("id").alias("query")).join(best, "query").filter(F.col("vec_id") != F.col("query_id"))
+    return ranked(wide, "query_id", k).select("query_id", "rank", "vec_id", "score")
