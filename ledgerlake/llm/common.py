@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Iterator
 
@@ -28,6 +29,12 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def tidy(df: DataFrame) -> None:
+    """Let Spark's cleaner remove the shuffles and checkpoints of earlier rounds, which it does when the driver collects garbage."""
+    gc.collect()
+    df.sparkSession._jvm.System.gc()
+
+
 def texts_of(docs: DataFrame, *also: str) -> DataFrame:
     """``doc_id`` and ``text`` (null: empty) and the named columns, nothing else."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *also)

@@ -10,9 +10,9 @@ lists are joined with the vectors they name, once per task, and what is found is
 merged by the task of the node that it is for.
 
 Search.  A node that is asked for keeps a beam of the nearest nodes met, at first
-its own list and a few long vectors; each step joins the lists of those not yet
-expanded with the vectors they name and scores them, until all of the beam are
-expanded.  At the end the beam is scored in double precision.
+its own list and a few long vectors; each step joins the nodes that lists of the beam
+name with their vectors and lists, scores them and goes on as far as the nodes met in
+its task lead, until all of the beam are expanded.  At the end the beam is scored in double precision.
 
 Vectors of unequal norm are brought to one by a further component, so that the
 largest inner product is the nearest node.  Vectors of unequal length are never
@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.common import durable
+from ledgerlake.llm.common import durable, tidy
 from ledgerlake.llm.vafile import usable
 
 NEIGHBOURS = 40
@@ -256,11 +256,17 @@ def build(nodes: DataFrame) -> DataFrame:
     graph, settled = start(nodes), False
     while not settled:
         graph = descend(graph)
+        tidy(graph)
         fresh, held = graph.agg(F.sum(F.size(F.filter("new", lambda x: x))), F.sum(F.size("new"))).first()
         settled = (fresh or 0) <= SETTLED * (held or 0)
     return graph
 
 
+def _gather(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The lists of some rows, one after another."""
+    return np.concatenate([flat[starts[r] : ends[r]] for r in rows.tolist()]) if len(rows) else flat[:0]
+
+
 _STATE = "task long, query long, q binary, beam array<long>, scores array<float>, want array<long>"
 
 
@@ -278,9 +284,9 @@ def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, k: int, beam:
     lists = graph.select("id", "v", "near")
 
     def step(t: pa.Table, got: pa.Table) -> pa.Table:
-        ids, packed = got.column("id").to_numpy(), got.column("v").to_pylist()
-        order = np.argsort(ids)
-        ids, near = ids[order], got.column("near").combine_chunks()
+        own_ids, packed = got.column("id").to_numpy(), got.column("v").to_pylist()
+        order = np.argsort(own_ids)
+        ids, near = own_ids[order], got.column("near").combine_chunks()
         near = near.chunk(0) if isinstance(near, pa.ChunkedArray) else near
         flat, ends = near.flatten().to_numpy(), np.cumsum(near.value_lengths().to_numpy())
         starts = ends - near.value_lengths().to_numpy()
@@ -295,25 +301,35 @@ def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, k: int, beam:
         want_rows = order[np.searchsorted(ids, want)] if len(want) else want
         for i, q in enumerate(t.column("q").to_pylist()):
             b, s = (x[n[i - 1] if i else 0 : n[i]] for x in (beam, score))
-            w, rows = (x[m[i - 1] if i else 0 : m[i]] for x in (want, want_rows))
-            if not len(w):  # this search is over
+            rows = want_rows[m[i - 1] if i else 0 : m[i]]
+            if not len(rows):  # this search is over
                 beams.append(b)
                 scores.append(s)
-                wants.append(w)
+                wants.append(rows)
                 continue
             x = np.frombuffer(q, dtype=np.float32).copy()
             x[-1] = 0  # the inner product, not the distance of the nodes
-            alike = lengths[rows] == len(q)
-            w, rows = w[alike], rows[alike]
-            own = by_length[len(q)][1][spot[rows]] @ x if len(w) else np.empty(0, dtype=np.float32)
-            every, score_ = np.concatenate([b, w]), np.concatenate([s, own])
-            fresh = np.concatenate([np.full(len(b), -1, dtype=np.int64), rows])
-            best = np.lexsort((every, -score_))[:width]
-            every, fresh = every[best], fresh[best]
-            out = [flat[starts[r] : ends[r]] for r in fresh[fresh >= 0].tolist()]
+            mine = by_length[len(q)][1]
+            tried = np.zeros(len(ids), dtype=bool)
+            every, score_, place = b, s, np.full(len(b), -1, dtype=np.int64)
+            while len(rows):  # as far as the nodes at hand lead
+                tried[rows] = True
+                rows = rows[lengths[rows] == len(q)]
+                entering = np.setdiff1d(rows, place)
+                every, score_, place = np.concatenate([every, own_ids[entering]]), np.concatenate([score_, mine[spot[entering]] @ x]), np.concatenate([place, entering])
+                every, one = np.unique(every, return_index=True)
+                score_, place = score_[one], place[one]
+                best = np.lexsort((every, -score_))[:width]
+                every, score_, place = every[best], score_[best], place[best]
+                out = _gather(flat, starts, ends, np.intersect1d(place, entering))
+                at = np.minimum(np.searchsorted(ids, out), len(ids) - 1)
+                rows = np.unique(order[at[ids[at] == out]])
+                rows = rows[~tried[rows]]
+            out = _gather(flat, starts, ends, place[place >= 0])
+            at = np.minimum(np.searchsorted(ids, out), len(ids) - 1)
             beams.append(every)
-            scores.append(score_[best])
-            wants.append(np.setdiff1d(np.concatenate(out), every) if out else np.empty(0, dtype=np.int64))
+            scores.append(score_)
+            wants.append(np.unique(out[ids[at] != out]))
         cols = {"task": t.column("task"), "query": t.column("query"), "q": t.column("q")}
         for name, values, kind in (("beam", beams, np.int64), ("scores", scores, np.float32), ("want", wants, np.int64)):
             cols[name] = _as_lists(np.array([len(x) for x in values], dtype=np.int64), np.concatenate(values).astype(kind) if values else np.empty(0, dtype=kind))
@@ -325,6 +341,7 @@ def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, k: int, beam:
         wanted = state.select("task", F.explode("want").alias("id")).distinct().join(lists, "id")
         state = durable(_together(state, wanted.select("task", "id", "v", "near"), "task").applyInArrow(step, _STATE))
         left = not state.filter(F.size("want") > 0).isEmpty()
+        tidy(state)
 
     exact = state.select("task", F.explode(F.concat("beam", F.array("query"))).alias("id")).distinct().join(nodes.select("id", "x"), "id").select("task", "id", "x")
 
@@ -355,7 +372,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     copies = durable(copies)
     graph = build(nodes)
     queries = durable(copies.filter(is_query).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("id").alias("id")))
-    met = search(graph, nodes, queries, k)
+    met = durable(search(graph, nodes, queries, k))
     few = copies.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy("vec_id"))).filter(F.col("n") <= k + 1).drop("n")
     best = met.join(few, "id").groupBy("query", "vec_id").agg(F.max("score").alias("score"))
 
