@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,21 +19,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder, its lineage cut.
+    """``df`` written as a table in the shared checkpoint folder and read again, its lineage cut.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is
-    unset (tests on one machine) a temporary folder takes its place.
+    Unlike a checkpoint, which counts the rows and then computes them anew to
+    write them, this computes them once.  The folder is the session's
+    ``spark.checkpoint.dir``; only where that is unset (tests on one machine) a
+    temporary folder takes its place.
     """
-    sc = df.sparkSession.sparkContext
+    spark = df.sparkSession
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="ckpt"))
-    return df.checkpoint(eager=True)
-
-
-def tidy(df: DataFrame) -> None:
-    """Let Spark's cleaner remove the shuffles and checkpoints of earlier rounds, which it does when the driver collects garbage."""
+    folder = f"{sc.getCheckpointDir()}/{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    table = spark.read.schema(df.schema).parquet(folder)
+    table.folder = folder
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove durable tables that nothing will read again, and let Spark's cleaner remove the shuffles they were made by."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.folder)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
     gc.collect()
-    df.sparkSession._jvm.System.gc()
+    if tables:
+        tables[0].sparkSession._jvm.System.gc()
 
 
 def texts_of(docs: DataFrame, *also: str) -> DataFrame:

@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.common import durable, tidy
+from ledgerlake.llm.common import discard, durable
 from ledgerlake.llm.vafile import usable
 
 NEIGHBOURS = 40
@@ -248,7 +248,9 @@ def descend(graph: DataFrame) -> DataFrame:
         return _found(ids, home, *kept)
 
     found = _together(around, held, "task").applyInArrow(compare, _FOUND)
-    return merged(graph.withColumn("new", F.transform("new", lambda x: F.lit(False))), found)
+    better = merged(graph.withColumn("new", F.transform("new", lambda x: F.lit(False))), found)
+    discard(around, graph)
+    return better
 
 
 def build(nodes: DataFrame) -> DataFrame:
@@ -256,7 +258,6 @@ def build(nodes: DataFrame) -> DataFrame:
     graph, settled = start(nodes), False
     while not settled:
         graph = descend(graph)
-        tidy(graph)
         fresh, held = graph.agg(F.sum(F.size(F.filter("new", lambda x: x))), F.sum(F.size("new"))).first()
         settled = (fresh or 0) <= SETTLED * (held or 0)
     return graph
@@ -339,9 +340,9 @@ def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, k: int, beam:
     while left:
         # the beams of searches that are over wait with an empty want
         wanted = state.select("task", F.explode("want").alias("id")).distinct().join(lists, "id")
-        state = durable(_together(state, wanted.select("task", "id", "v", "near"), "task").applyInArrow(step, _STATE))
+        last, state = state, durable(_together(state, wanted.select("task", "id", "v", "near"), "task").applyInArrow(step, _STATE))
+        discard(last)
         left = not state.filter(F.size("want") > 0).isEmpty()
-        tidy(state)
 
     exact = state.select("task", F.explode(F.concat("beam", F.array("query"))).alias("id")).distinct().join(nodes.select("id", "x"), "id").select("task", "id", "x")
 
