@@ -31,19 +31,20 @@ from itertools import pairwise
 import numpy as np
 import pyarrow as pa
 import regex
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.common import mix64, pieces, powers, texts_of
+from ledgerlake.llm.common import mix64, pieces, placed_hashes, texts_of
 
 #: Pieces whose encodings a Python worker keeps.
 CACHE = 300_000
 #: Fixed value: the pattern for which :meth:`Codec.starts` has a vectorised form.
 PLAIN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _SPACE, _LETTER = 0, 1
-hash64 = xxhash.xxh64_intdigest
-POWERS, INVERSES = powers(1 << 21)
+#: Characters and tokens of the pieces that a worker keeps, at most.
+HELD = 8_000_000
+#: White space before which any text can be cut without changing a match of ``PLAIN``.
+_safe = regex.compile(r"(?<=\S) (?=\S)")
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -84,6 +85,7 @@ class Codec:
     def _forget(self) -> None:
         self.slot: dict[int, int] = {}  # hash of a piece to its place below
         self.flat, self.at, self.len = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+        self.chars, self.chars_at, self.chars_len = np.empty(0, dtype=np.uint32), np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
 
     def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rank of the token that each pair makes; -1 if none."""
@@ -224,8 +226,9 @@ class Codec:
         begins = np.unique(bounds[:-1][lengths > 0])
         start = self.starts(text, begins)
         end = np.concatenate([start[1:], [len(text)]])
-        hashed, one, which = np.unique(self._hashes(text, start, end), return_index=True, return_inverse=True)
-        if len(self.slot) + len(hashed) > self.cache_size:
+        code = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
+        hashed, one, which = np.unique(self._hashes(code, start, end), return_index=True, return_inverse=True)
+        if len(self.slot) + len(hashed) > self.cache_size or len(self.flat) + len(self.chars) > HELD:
             self._forget()
         slot = self.slot
         place = np.array([slot.get(h, -1) for h in hashed.tolist()], dtype=np.int64)
@@ -233,26 +236,35 @@ class Codec:
         if len(new):
             place[new] = np.arange(len(slot), len(slot) + len(new))
             slot.update(zip(hashed[new].tolist(), place[new].tolist(), strict=True))
-            ids, counts = self.replay([text[a:b].encode("utf-8") for a, b in zip(start[one[new]].tolist(), end[one[new]].tolist(), strict=True)])
+            a, b = start[one[new]], end[one[new]]
+            ids, counts = self.replay([text[i:j].encode("utf-8") for i, j in zip(a.tolist(), b.tolist(), strict=True)])
             self.at = np.concatenate([self.at, len(self.flat) + np.cumsum(counts) - counts])
             self.len = np.concatenate([self.len, counts])
             self.flat = np.concatenate([self.flat, ids])
+            self.chars_at = np.concatenate([self.chars_at, len(self.chars) + np.cumsum(b - a) - (b - a)])
+            self.chars_len = np.concatenate([self.chars_len, b - a])
+            self.chars = np.concatenate([self.chars, code[_spread(a, b - a)]])
         use = place[which]
         counts = self.len[use]
+        ids = self.flat[_spread(self.at[use], counts)]
+        # pieces are told apart by their characters: where a hash names others, such pieces are merged anew
+        size = end - start
+        alike = self.chars_len[use] == size
+        mine, theirs = code[_spread(start[alike], size[alike])], self.chars[_spread(self.chars_at[use[alike]], size[alike])]
+        if not alike.all() or not np.array_equal(mine, theirs):
+            words = [text[a:b].encode("utf-8") for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+            known = {w: i for i, w in enumerate(dict.fromkeys(words))}
+            some, n = self.replay(list(known))
+            use = np.array([known[w] for w in words], dtype=np.int64)
+            counts = n[use]
+            ids = some[_spread((np.cumsum(n) - n)[use], counts)]
         done = np.concatenate([[0], np.cumsum(counts)])
-        return self.flat[_spread(self.at[use], counts)], np.diff(done[np.searchsorted(start, bounds)])
+        return ids, np.diff(done[np.searchsorted(start, bounds)])
 
-    def _hashes(self, text: str, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """A 64-bit hash of each piece: a polynomial over its characters, from running sums."""
-        code = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
+    def _hashes(self, code: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """A 64-bit hash of each piece, of its characters at their places."""
         with np.errstate(over="ignore"):
-            if len(code) >= len(POWERS):
-                return np.array([hash64(text[a:b]) for a, b in zip(start.tolist(), end.tolist(), strict=True)], dtype=np.uint64)
-            value = (code.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-            value ^= value >> np.uint64(29)
-            value *= POWERS[: len(code)]
-            total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(value, dtype=np.uint64)])
-            return mix64((total[end] - total[start]) * INVERSES[start] + (end - start).astype(np.uint64))
+            return mix64(placed_hashes(code, start, end) + (end - start).astype(np.uint64))
 
     def digests(self, ids: np.ndarray, counts: np.ndarray) -> tuple[list[str], list[str], list[bytes]]:
         """Of each text: SHA-256 of its ids in decimal, of its decoded bytes, and these bytes."""
@@ -266,14 +278,32 @@ class Codec:
         return [sha256(said[a : max(a, b - 1)]).hexdigest() for a, b in pairwise(told)], [sha256(d).hexdigest() for d in decoded], decoded
 
     def batches(self, texts: list[str | None], chars: int = 1_500_000) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """Number of texts, their ids and counts, for runs of texts with about ``chars`` characters."""
+        """Number of texts, their ids and counts, for runs of texts with about ``chars`` characters.
+
+        A longer text is encoded in parts, cut where no match goes on.
+        """
         at = size = 0
         for k, text in enumerate(texts, 1):
             size += len(text or "")
             if size > chars or k == len(texts):
-                yield k - at, *self.run(texts[at:k])
+                if len(text or "") > 2 * chars and self.plain:
+                    if k - 1 > at:
+                        yield k - 1 - at, *self.run(texts[at : k - 1])
+                    ids = np.concatenate([self.run([part])[0] for part in self._parts(text, chars)])
+                    yield 1, ids, np.array([len(ids)], dtype=np.int64)
+                else:
+                    yield k - at, *self.run(texts[at:k])
                 at, size = k, 0
 
+    @staticmethod
+    def _parts(text: str, chars: int) -> Iterator[str]:
+        at = 0
+        while at < len(text):
+            cut = _safe.search(text, at + chars)
+            end = cut.start() if cut else len(text)
+            yield text[at:end]
+            at = end
+
 
 def _spread(at: np.ndarray, count: np.ndarray) -> np.ndarray:
     """The indices at, at + 1, ... of each segment, one segment after another."""

@@ -70,18 +70,38 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 _BASE = 0xD6E8FEB86659FD93
+_STEP = 1 << 20  # bytes hashed at once
 
+with np.errstate(over="ignore"):
+    #: A random word for every byte at each of a word's first 64 places.
+    _PLACED = mix64(np.arange(1, (64 << 8) + 1, dtype=_U) * _U(0x9E3779B97F4A7C15))
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first ``n`` powers of the base, and of its inverse, modulo 2^64."""
-    with np.errstate(over="ignore"):
-        return tuple(np.cumprod(np.concatenate([[_U(1)], np.full(n, _U(x))]), dtype=_U) for x in (_BASE, pow(_BASE, -1, 1 << 64)))
 
+def placed_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray, before: int = 0) -> np.ndarray:
+    """The sum, modulo 2^64, of a random word for each value and its place in its run, for runs start to end.
+
+    Tabulation over places, which no choice of values makes collide by its
+    algebra, as polynomials modulo 2^64 do.  The first run goes on from ``before``.
+    """
+    length = end - start
+    done = np.cumsum(length)
+    at = np.arange(int(done[-1]) if len(done) else 0)
+    place = at - np.repeat(done - length, length)
+    if before and len(length):
+        place[: length[0]] += before
+    own = values[at + np.repeat(start - (done - length), length)].astype(np.int64)
+    with np.errstate(over="ignore"):
+        near = (place < 64) & (own < 256)
+        if near.all():
+            word = _PLACED[place << 8 | own]
+        else:
+            word = np.empty(len(at), dtype=_U)
+            word[near] = _PLACED[place[near] << 8 | own[near]]
+            far = ~near
+            word[far] = mix64(mix64(place[far].astype(_U) * _U(0x9E3779B97F4A7C15) + _U(_BASE)) + own[far].astype(_U) * _U(0xBF58476D1CE4E5B9))
+        total = np.concatenate([np.zeros(1, dtype=_U), np.cumsum(word, dtype=_U)])
+        return total[done] - total[done - length]
 
-with np.errstate(over="ignore"):
-    _BYTE = mix64(np.arange(1, 257, dtype=_U) * _U(0x9E3779B97F4A7C15))
-_STEP = 1 << 20  # powers are kept for so many positions; longer buffers are hashed in such pieces
-_POW, _IPOW = powers(_STEP)
 
 #: A-Z to a-z, every other byte as it is.
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -90,33 +110,28 @@ _SPACE[[32, 9, 10, 11, 12, 13]] = True
 
 
 def word_hashes(data: bytes) -> np.ndarray:
-    """A 64-bit hash of each maximal run of bytes that are not ASCII white space, in order.
-
-    A polynomial over a table of random words, modulo 2^64, taken from running
-    sums, so that the cost is a few vector operations a byte.
-    """
-    if not data:
+    """A 64-bit hash of each maximal run of bytes that are not ASCII white space, in order."""
+    hashes, lengths = [], []
+    going = 0  # bytes that the last word has so far, if it may go on
+    for at in range(0, len(data), _STEP):
+        b = np.frombuffer(data, dtype=np.uint8, count=min(_STEP, len(data) - at), offset=at)
+        word = np.concatenate([[False], ~_SPACE[b], [False]])
+        edge = np.flatnonzero(word[1:] != word[:-1])
+        start, end = edge[::2], edge[1::2]
+        on = bool(going) and bool(word[1])
+        h, n = placed_hashes(b, start, end, going if on else 0), end - start
+        with np.errstate(over="ignore"):
+            if on:
+                h[0] += hashes[-1][-1]
+                n[0] += going
+                hashes[-1], lengths[-1] = hashes[-1][:-1], lengths[-1][:-1]
+        going = int(n[-1]) if len(end) and end[-1] == len(b) else 0
+        hashes.append(h)
+        lengths.append(n)
+    if not hashes:
         return np.empty(0, dtype=_U)
-    if len(data) > _STEP:  # cut at white space, or hash one long word by itself
-        cut = max(data.rfind(c, 0, _STEP) for c in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c"))
-        if cut < 0:
-            ends = [p for p in (data.find(c, _STEP) for c in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c")) if p >= 0]
-            end = min(ends) if ends else len(data)
-            h = _U(end)
-            with np.errstate(over="ignore"):
-                for i in range(0, end, _STEP):
-                    b = np.frombuffer(data[i : min(end, i + _STEP)], dtype=np.uint8)
-                    h = h * _U(_BASE) + (_BYTE[b] * _POW[: len(b)]).sum(dtype=_U)
-                first = mix64(np.array([h], dtype=_U))
-            return np.concatenate([first, word_hashes(data[end:])])
-        return np.concatenate([word_hashes(data[:cut]), word_hashes(data[cut:])])
-    b = np.frombuffer(data, dtype=np.uint8)
-    word = np.concatenate([[False], ~_SPACE[b], [False]])
-    edge = np.flatnonzero(word[1:] != word[:-1])
-    start, end = edge[::2], edge[1::2]
     with np.errstate(over="ignore"):
-        run = np.concatenate([[_U(0)], np.cumsum(_BYTE[b] * _POW[: len(b)], dtype=_U)])
-        return mix64((run[end] - run[start]) * _IPOW[start] + (end - start).astype(_U))
+        return mix64(np.concatenate(hashes) + np.concatenate(lengths).astype(_U))
 
 
 def shingle_sets(texts: list[str | None], size: int) -> tuple[np.ndarray, np.ndarray]:

@@ -145,17 +145,17 @@ def sets_of(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
                     at = np.minimum(np.searchsorted(token, s), len(token) - 1)
                     count = np.where(token[at] == s, times[at], 0)
                 n.append(len(s))
-                key.append(xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63))
+                key.append(xxhash.xxh3_128_digest(s.tobytes()))
                 rare.append(s[np.lexsort((s, count))[: len(s) - _least(len(s), num, den) + 1 if len(s) else 0]].astype(np.int64))
                 sketch.append(np.unique((s[s % np.uint64(SAMPLED) == 0] >> np.uint64(24)).astype(np.uint16)).tobytes())
             ends = np.concatenate([[0], np.cumsum([len(x) for x in rare])]).astype(np.int32)
             flat = np.concatenate(rare) if rare else np.empty(0, dtype=np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(key, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(sketch, pa.binary())],
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(sketch, pa.binary())],
                 names=["doc_id", "n", "key", "rare", "sketch"],
             )
 
-    return texts_of(docs).mapInArrow(run, "doc_id long, n long, key long, rare array<long>, sketch binary")
+    return texts_of(docs).mapInArrow(run, "doc_id long, n long, key binary, rare array<long>, sketch binary")
 
 
 class Sketches:
