@@ -2,9 +2,11 @@
 
 Method.  A text is cut into sentences (at white space after a full stop,
 question or exclamation mark, and at line ends); a sentence is compared by its
-words, lower-cased.  From every sentence the shortest run of at least
-``sentences`` consecutive sentences with at least ``words`` words is hashed.
-Hashes met more than once over the whole corpus are joined back to their places,
+words, lower-cased.  Runs of at least ``sentences`` consecutive sentences with at
+least ``words`` words, or of at least ``long_words`` words, are spans.  From every
+sentence, and up to every sentence, the shortest one is hashed: every longer
+repetition is a union of such.  Hashes have 128 bits, so that no two different
+runs of any corpus are taken for one.  Hashes met more than once over the whole corpus are joined back to their places,
 the first place (by ``doc_id``, the text's hash, then position) is kept, and every sentence
 covered by any other place is removed.
 
@@ -33,7 +35,9 @@ from pyspark.sql import types as T
 from ledgerlake.llm.common import LOWER, durable, pieces
 
 SENTENCES = 2
-WORDS = 12
+WORDS = 20
+#: With so many words a single sentence is a span.
+LONG_WORDS = 25
 
 _cuts = re.compile(r"(?<=[.!?])\s+|\n\s*").finditer
 
@@ -55,54 +59,61 @@ def sentences_of(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def spans_of(text: str, sentences: int, words: int) -> list[tuple[int, int, int]]:
-    """Hash, first sentence and end of the shortest sufficient run from each sentence."""
+def spans_of(text: str, sentences: int, words: int, long_words: int) -> list[tuple[int, int, int, int]]:
+    """Both halves of the hash, first sentence and end of the shortest sufficient runs from and up to each sentence."""
     parts = sentences_of(text)
-    if len(parts) < sentences:
-        return []
     done, hashes = [0], []
     for a, b in parts:
         own = text[a:b].encode("utf-8").translate(LOWER).split()
         done.append(done[-1] + len(own))
-        hashes.append(xxhash.xxh3_64_intdigest(b" ".join(own)))
-    out = []
+        hashes.append(xxhash.xxh3_128_digest(b" ".join(own)))
+
+    def enough(i: int, j: int) -> bool:
+        return done[j] - done[i] >= long_words or (j - i >= sentences and done[j] - done[i] >= words)
+
+    runs = set()
     j = 0
     for i in range(len(parts)):
-        j = max(j, i + sentences)
-        while j <= len(parts) and done[j] - done[i] < words:
+        j = max(j, i + 1)
+        while j <= len(parts) and not enough(i, j):
             j += 1
         if j > len(parts):
             break
-        h = 0
-        for x in hashes[i:j]:
-            h = (h * 0x9E3779B97F4A7C15 + x + 1) & 0xFFFFFFFFFFFFFFFF
-            h ^= h >> 29
-        out.append((h - (1 << 63), i, j))
+        runs.add((i, j))
+    i = 0
+    for j in range(1, len(parts) + 1):
+        if enough(i, j):
+            while i + 1 < j and enough(i + 1, j):
+                i += 1
+            runs.add((i, j))
+    out = []
+    for i, j in sorted(runs):
+        h = xxhash.xxh3_128_digest(b"".join(hashes[i:j]))
+        out.append((int.from_bytes(h[:8], "big", signed=True), int.from_bytes(h[8:], "big", signed=True), i, j))
     return out
 
 
-
-def repeated_sentences(docs: DataFrame, sentences: int = SENTENCES, words: int = WORDS) -> DataFrame:
+def repeated_sentences(docs: DataFrame, sentences: int = SENTENCES, words: int = WORDS, long_words: int = LONG_WORDS) -> DataFrame:
     """``doc_id``, ``text_hash`` and the ``spans`` (start, end) of sentences that repeat an earlier place."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             owner, flat = [], []
             for k, text in enumerate(batch.column(2).to_pylist()):
-                own = spans_of(text, sentences, words)
+                own = spans_of(text, sentences, words, long_words)
                 owner += [k] * len(own)
                 flat += own
             take = pa.array(owner, pa.int32())
-            cols = [pa.array([x[i] for x in flat], kind) for i, kind in enumerate((pa.int64(), pa.int32(), pa.int32()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), *cols], names=["doc_id", "text_hash", "span", "start", "end"])
+            cols = [pa.array([x[i] for x in flat], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), *cols], names=["doc_id", "text_hash", "span", "rest", "start", "end"])
 
     rows = docs.filter(F.col("doc_id").isNotNull() & (F.length("text") > 0)).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    spans = rows.mapInArrow(hashed, "doc_id long, text_hash long, span long, start int, end int")
-    often = spans.groupBy("span").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("span")
-    held = durable(spans.join(often, "span"))
+    spans = rows.mapInArrow(hashed, "doc_id long, text_hash long, span long, rest long, start int, end int")
+    often = spans.groupBy("span", "rest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    held = durable(spans.join(often, ["span", "rest"]))
     place = F.struct("doc_id", "text_hash", "start")
-    first = held.groupBy("span").agg(F.min(place).alias("first"))
-    later = held.join(first, "span").filter(place != F.col("first"))
+    first = held.groupBy("span", "rest").agg(F.min(place).alias("first"))
+    later = held.join(first, ["span", "rest"]).filter(place != F.col("first"))
     return later.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
 
 
@@ -116,9 +127,9 @@ def without(text: str, spans: list[dict]) -> tuple[str, int, list[int]]:
     return "".join([text[a:b] for i, (a, b) in enumerate(parts) if i not in lost]), len(parts), gone
 
 
-def dedup(docs: DataFrame, sentences: int = SENTENCES, words: int = WORDS) -> DataFrame:
+def dedup(docs: DataFrame, sentences: int = SENTENCES, words: int = WORDS, long_words: int = LONG_WORDS) -> DataFrame:
     """The struct ``row`` of each row of ``docs``, its new ``text``, ``n_sentences`` and the list ``removed``."""
-    found = repeated_sentences(docs, sentences, words).toDF("r_id", "r_hash", "spans")
+    found = repeated_sentences(docs, sentences, words, long_words).toDF("r_id", "r_hash", "spans")
     rows = docs.select(F.struct("*").alias("row")).withColumn("h", F.xxhash64("row.text"))
     joined = rows.join(found, (F.col("row.doc_id").cast("long") == F.col("r_id")) & (F.col("h") == F.col("r_hash")), "left").select("row", "spans")
 
