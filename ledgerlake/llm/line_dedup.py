@@ -4,8 +4,10 @@ Method.  A document is the sequence of its lines that are not blank, stripped
 and hashed.  Hashes of ``gram`` consecutive lines are taken over windows of
 ``window`` such grams, and each window's minimum (the rightmost of equals) is
 kept as a fingerprint.  Any run of ``gram + window - 1`` lines that two places
-share has a fingerprint in common, so every longer repetition is found, while
-about two in ``window + 1`` positions are stored.  Fingerprints are joined to
+share has a fingerprint in common, while about two in ``window + 1`` positions are
+stored.  By default the window is one gram, so that every line of every repetition
+of two lines goes, whichever earlier place holds it; a larger window stores less
+and is certain of longer runs only.  Fingerprints are joined to
 the first place that holds them; each match is extended line by line in both
 directions, and the later run, at least ``gram`` lines, is deleted.
 
@@ -36,8 +38,9 @@ from pyspark.sql import types as T
 
 from ledgerlake.llm.common import durable, mix64, pieces
 
+#: Every repetition of ``GRAM + WINDOW - 1`` lines is found, so of two, which is also the least that is deleted.
 GRAM = 2
-WINDOW = 2
+WINDOW = 1
 
 
 def lines_of(text: str) -> tuple[list[str], list[int]]:
