@@ -3,7 +3,8 @@
 Method.  Two conversations are compared turn by turn; the longest common prefix
 of turns (equal role and text) is the prompt and is rendered once.  What follows
 in either is its completion.  Each completion carries the character ranges that
-are trained on: the texts of assistant turns, without their markers.
+are trained on: the texts of assistant turns and their end markers, so that stopping is
+learnt.  Markers inside texts are escaped, so that no text can end its turn.
 
 Pairs.  :func:`pairs` takes conversations with the same first user turn (and
 what stands before it) as answers to one request: the one with the smallest id
@@ -27,12 +28,14 @@ Equal conversations differ in nothing: both completions are empty and
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+END = "<|end|>"
 TURNS = "array<struct<role:string,text:string>>"
 
 
@@ -60,14 +63,19 @@ def pairs(convs: DataFrame) -> DataFrame:
     return shared.unionByName(alone)
 
 
+def escaped(text: str) -> str:
+    """Text in which nothing is a marker: a backslash goes between ``<`` and ``|``, and one more where some stand."""
+    return re.sub(r"<(\\*)\|", r"<\\\1|", text)
+
+
 def render(turns: list[dict]) -> tuple[str, list[dict]]:
     """The text of turns, and the ranges of assistant texts in it."""
     parts, at, ranges = [], 0, []
     for t in turns:
-        head = f"<|{t['role']}|>\n"
+        head, body = f"<|{escaped(t['role'])}|>\n", escaped(t["text"])
         if t["role"] == "assistant":
-            ranges.append({"start": at + len(head), "end": at + len(head) + len(t["text"])})
-        part = f"{head}{t['text']}<|end|>\n"
+            ranges.append({"start": at + len(head), "end": at + len(head) + len(body) + len(END)})
+        part = f"{head}{body}{END}\n"
         parts.append(part)
         at += len(part)
     return "".join(parts), ranges

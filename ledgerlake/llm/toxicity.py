@@ -45,7 +45,7 @@ _words = re.compile(r"\w+").findall
 
 def held_out(doc_id: Column) -> Column:
     """Whether a row is kept from learning."""
-    return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
 def terms(word: str) -> list[int]:

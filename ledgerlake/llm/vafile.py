@@ -17,7 +17,8 @@ large, costs no more than a few rows.
 
 Cases.  Vectors that are null, or hold null, NaN or infinity, take no part, nor
 do rows without an id.  Rows with the query's id never answer it.  Vectors of
-different length are not compared.  Empty tables give empty results; only the
+different length are not compared.  Of several vectors of a query's id the least
+is asked.  Components and scores beyond a long's range become its ends.  Empty tables give empty results; only the
 id and vector columns are read.
 """
 
@@ -69,7 +70,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, grid: float = 256.0)
     whole = F.transform("embedding", lambda x: F.floor(x.cast("double") * grid).cast("long"))
     base = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").filter(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
     base = base.select("vec_id", whole.alias("x"), F.size("embedding").alias("dim"))
-    queries = base.filter(is_query).dropDuplicates(["vec_id"])
+    queries = base.filter(is_query).groupBy("vec_id").agg(F.min("x").alias("x")).withColumn("dim", F.size("x"))
     copies = Window.partitionBy("x").orderBy("vec_id")
     candidates = base.withColumn("copy", F.dense_rank().over(copies)).filter(F.col("copy") <= k + 1).drop("copy").dropDuplicates(["vec_id", "x"])
     n_queries, n_candidates = queries.count(), base.count()
@@ -122,7 +123,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, grid: float = 256.0)
                     break
                 found.append((int(q @ np.array(x, dtype=object)), -int(vec)))
                 found.sort(reverse=True)
-            rows += [(query, i, -v, s) for i, (s, v) in enumerate(found[:k], 1)]
+            rows += [(query, i, -v, min(max(s, -(1 << 63)), (1 << 63) - 1)) for i, (s, v) in enumerate(found[:k], 1)]
         return pd.DataFrame(rows, columns=["query_id", "rank", "vec_id", "score"]).astype({"query_id": "int64", "rank": "int32", "vec_id": "int64", "score": "int64"})
 
     grouped = exact.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(max(64, n_queries // 64))))
