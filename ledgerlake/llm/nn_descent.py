@@ -51,7 +51,7 @@ REVERSE = 40
 #: Rounds end when at most this share of the list entries is new.
 SETTLED = 0.01
 #: Sets of hyperplanes, each of which cuts the vectors into blocks of about ``LEAF``.
-TREES = 8
+TREES = 12
 LEAF = 256
 #: Vectors whose mean the hyperplanes pass through.
 SAMPLE = 2048
@@ -101,14 +101,19 @@ def _as_lists(counts: np.ndarray, values: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(values))
 
 
-_FOUND = "task long, id long, near array<long>, sim array<float>"
+_FOUND = "task long, ids array<long>, counts array<int>, near array<long>, sim array<float>"
 _GRAPH = "task long, id long, v binary, near array<long>, sim array<float>, new array<boolean>"
 
 
 def _found(ids: np.ndarray, tasks: np.ndarray, u: np.ndarray, v: np.ndarray, sim: np.ndarray) -> pa.Table:
-    """Lists of what was found, by the node it is for; u and v are places in ``ids``."""
-    own, counts = np.unique(u, return_counts=True)
-    return pa.table({"task": tasks[own], "id": ids[own], "near": _as_lists(counts, ids[v]), "sim": _as_lists(counts, sim.astype(np.float32))})
+    """What was found, a row for each task that it is for: its nodes, the length of each one's list, and the lists; u and v are places in ``ids``."""
+    order = np.argsort(tasks[u], kind="stable")  # u stays together
+    u, v, sim = u[order], v[order], sim[order]
+    first = np.flatnonzero(np.concatenate([[True], u[1:] != u[:-1]])) if len(u) else np.empty(0, dtype=np.int64)
+    own, counts = u[first], np.diff(np.concatenate([first, [len(u)]]))
+    home, nodes = np.unique(tasks[own], return_counts=True)
+    entries = np.add.reduceat(counts, np.cumsum(nodes) - nodes) if len(nodes) else nodes
+    return pa.table({"task": home, "ids": _as_lists(nodes, ids[own]), "counts": _as_lists(nodes, counts.astype(np.int32)), "near": _as_lists(entries, ids[v]), "sim": _as_lists(entries, sim.astype(np.float32))})
 
 
 def nodes_of(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -116,18 +121,18 @@ def nodes_of(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: x.cast("double")).alias("x"))
     rows = rows.filter(F.col("vec_id").isNotNull() & usable(F.col("x")) & F.exists("x", lambda x: x != 0)).distinct()
     nodes = durable(rows.groupBy("x").agg(F.min("vec_id").alias("id")).select("id", "x"))
-    widest = nodes.agg(F.max(F.array_max(F.transform("x", F.abs)))).first()[0] or 1.0
-    scaled = F.transform("x", lambda x: x / F.lit(widest))
-    top = nodes.agg(F.max(F.aggregate(scaled, F.lit(0.0), lambda a, x: a + x * x))).first()[0] or 1.0
+    widest = F.array_max(F.transform("x", F.abs))
+    norm = widest * F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, x: a + (x / widest) * (x / widest)))
+    top = min(nodes.agg(F.max(norm)).first()[0] or 1.0, 1.7e308)
     lengths = {r["d"]: r["count"] for r in nodes.groupBy(F.size("x").alias("d")).count().orderBy(F.desc("count"), "d").limit(1000).collect()}
     sample = nodes.select("id", "x").orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()
-    means = {d: np.mean([_unit(np.array([r["x"]]) / widest, top)[0] for r in sample if len(r["x"]) == d] or [np.zeros(d + 1)], axis=0).astype(np.float32) for d in lengths}
+    means = {d: np.mean([_unit(np.array([r["x"]]) / top)[0] for r in sample if len(r["x"]) == d] or [np.zeros(d + 1)], axis=0).astype(np.float32) for d in lengths}
 
     def pack(batches):
         for batch in batches:
             v, code, xs = [], [], batch.column(1).to_pylist()
             for x in xs:
-                u = _unit(np.array([x]) / widest, top)
+                u = _unit(np.array([x]) / top)
                 v.append(u[0].tobytes())
                 code.append(int(codes(u, 0, BLOCK, lengths, means)[0]))
             sizes = pa.array([len(x) for x in xs], pa.int32())
@@ -142,10 +147,10 @@ def nodes_of(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     return placed, copies
 
 
-def _unit(x: np.ndarray, top: float) -> np.ndarray:
-    """Vectors with a further component that brings all to one norm."""
-    rest = np.sqrt(np.maximum(0, top - (x * x).sum(1)))[:, None]
-    return (np.concatenate([x, rest], axis=1) / math.sqrt(top)).astype(np.float32)
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Vectors of norm one at most with a further component that makes it one."""
+    rest = np.sqrt(np.maximum(0, 1 - (x * x).sum(1)))[:, None]
+    return np.concatenate([x, rest], axis=1).astype(np.float32)
 
 
 def codes(v: np.ndarray, tree: int, block: int, lengths: dict[int, int], means: dict[int, np.ndarray], seed: int = 5) -> np.ndarray:
@@ -189,14 +194,14 @@ def start(nodes: DataFrame) -> DataFrame:
 
 
 def merged(known: DataFrame, found: DataFrame) -> DataFrame:
-    """The known lists with what was found for them; ``new`` marks entries that were not known."""
+    """The known lists with what was found for them, block by block; ``new`` marks entries that were not known."""
 
     def best(left: pa.Table, right: pa.Table) -> pa.Table:
         ids = left.column("id").to_numpy()
         order = np.argsort(ids)
         (near, n), (sim, _) = (_lists(left.column(c)) for c in ("near", "sim"))
-        (more, m), (msim, _) = (_lists(right.column(c)) for c in ("near", "sim"))
-        at = order[np.searchsorted(ids[order], right.column("id").to_numpy())] if right.num_rows else np.empty(0, dtype=np.int64)
+        (more, _), (msim, _), (of, _), (m, _) = (_lists(right.column(c)) for c in ("near", "sim", "ids", "counts"))
+        at = order[np.searchsorted(ids[order], of)] if len(of) else np.empty(0, dtype=np.int64)
         old = np.concatenate([np.ones(len(near), dtype=bool), np.zeros(len(more), dtype=bool)])
         u, v, s, old = _best(np.concatenate([np.repeat(np.arange(len(ids)), n), np.repeat(at, m)]), np.concatenate([near, more]), np.concatenate([sim, msim]).astype(np.float32), old, NEIGHBOURS)
         counts = np.bincount(u, minlength=len(ids))
