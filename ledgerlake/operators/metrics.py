@@ -36,7 +36,7 @@ SQL = {
     "met12_dashboard_snapshot": """select n.node_id, n.capacity, n.used, coalesce(r.blocks, 0) as blocks, coalesce(v.votes, 0) as votes, coalesce(e.reputation, 1e0) as reputation from {nodes} n
         left join (select node_id, count(*) as blocks from {replicas} r group by node_id) r on n.node_id = r.node_id
         left join (select voter_id, count(*) as votes from {votes} v group by voter_id) v on n.node_id = v.voter_id
-        left join (select node_id, r6(1 + sum(impact)) as reputation from {evidence} e group by node_id) e on n.node_id = e.node_id""",
+        left join {reputations} e on n.node_id = e.node_id""",
     "met13_running_response_time": "select op, count(*) as served, r6(sum(value_us) / count(*)) as mean_us from {latency} l group by op",
     "met14_codec_stats": """select size_bucket, n, best, average, r6(last_ratio) as last_ratio from (select idiv(original, 1000) * 1000 as size_bucket, count(*) as n, r6(max(original / dbl(compressed))) as best,
         r6(sum(original) / dbl(sum(compressed))) as average, max_by(original / dbl(compressed), seq) as last_ratio from {results} r group by idiv(original, 1000) * 1000) t""",
@@ -51,7 +51,7 @@ SQL = {
     "met19_gateway_stats": "select gateway_id, count(*) as requests, count(distinct client_id) as sessions from {payments} p group by gateway_id",
     "met20_client_usage": "select client_id, gateway_id, count(*) as requests, big(sum(amount)) as spent, r6(avg(amount)) as average from {payments} p group by client_id, gateway_id",
     "met21_network_health": """select count(*) as nodes, nif(rep > 5e-1) as active, r6(avg(avg_response_time)) as response, r6(nif(rep >= 8e-1) / dbl(count(*))) as participation
-        from (select n.node_id, n.avg_response_time, coalesce(r.rep, 1e0) as rep from {nodes} n left join (select node_id, round(1 + sum(impact), 6) as rep from {evidence} e group by node_id) r on n.node_id = r.node_id) t""",
+        from (select n.node_id, n.avg_response_time, coalesce(r.rep, 1e0) as rep from {nodes} n left join (select node_id, reputation as rep from {reputations} e) r on n.node_id = r.node_id) t""",
     "met22_transport_stats": "select event_type as status, count(distinct user_id) as peers, nif(event_type in ('click', 'view')) as connected from {events} e group by event_type",
     "met23_pool_stats": """select class, count(*) as buffers, big(sum(size_bytes)) as used, r6(1 - sum(size_bytes) / dbl(sum(room))) as fragmentation from (select size_bytes, case when size_bytes <= 1024 then 'small' when size_bytes <= 16384 then 'medium' else 'large' end as class,
         case when size_bytes <= 1024 then 1024 when size_bytes <= 16384 then 16384 else 1048576 end as room from {blocks} b) t group by class""",

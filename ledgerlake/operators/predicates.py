@@ -15,7 +15,7 @@ SQL = {
         from (select a.seq, a.ts_s, m.now_s from {access_log} a cross join (select max(ts_s) as now_s from {access_log} b) m) t""",
     "prd15_historical_routing": "select id, param, case when 244999550 + param < 245000505 - 1000 + 50 then 'historical' else 'recent' end as route from {requests} r",
     "prd16_api_token": """select slot, matches(token, ^vault_[0-9a-fA-F]{32}$) as valid from (select slot, concat(case when slot % 3 = 0 then 'key_' else 'vault_' end, substr(block_hash, 1, case when slot % 5 = 0 then 31 else 32 end)) as token from {blocks} b) t""",
-    "prd17_may_vote": """select n.node_id, coalesce(r.rep, 1e0) >= 5e-1 as may_vote from {nodes} n left join (select node_id, greatest(0e0, least(2e0, round(1 + sum(impact), 6))) as rep from {evidence} e group by node_id) r
+    "prd17_may_vote": """select n.node_id, coalesce(r.rep, 1e0) >= 5e-1 as may_vote from {nodes} n left join (select node_id, reputation as rep from {reputations} e) r
         on n.node_id = r.node_id""",
     "prd18_payment_valid": "select payment_id, amount from {payments} p where amount <> 0 and confirmed",
     "prd20_rate_limit": "select id, n <= 100 as allowed from (select seq as id, row_number() over (partition by idiv(ts_s, 3600) order by ts_s, seq) as n from {access_log} a) w",

@@ -21,7 +21,7 @@ SQL = {
         cross join (select max(ts_s) as now_s from {snapshots} s) t""",
     "net6_heartbeat_status": """select node_id, case when now_s - last_s > 30 then 'Disconnected' else 'Connected' end as status from (select node_id, max(ts_s) as last_s from {snapshots} s group by node_id) p
         cross join (select max(ts_s) as now_s from {snapshots} s) t""",
-    "net7_peer_prune": "select node_id, r6(greatest(0e0, least(2e0, 1 + total))) as reputation from (select node_id, sum(impact) as total, max_by(event_type, seq) as last from {evidence} e group by node_id) t where last <> 'error'",
+    "net7_peer_prune": "select r.node_id, r.reputation from {reputations} r join (select node_id, max_by(event_type, seq) as last from {evidence} e group by node_id) t on r.node_id = t.node_id where t.last <> 'error'",
     "net1_read_decision": """select a.seq, a.slot, case when b.slot is not null and a.slot % 2 = 0 then 'local' when r.copies > 0 then 'peer' else 'miss' end as source from {access_log} a left join {blocks} b on a.slot = b.slot
         left join (select slot, count(*) as copies from {replicas} r group by slot) r on a.slot = r.slot""",
     "net4_find_value": "select q.slot, r.node_id from (select distinct slot from {access_log} a) q join {replicas} r on q.slot = r.slot",

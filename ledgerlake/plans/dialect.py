@@ -34,6 +34,11 @@ FUNCTIONS = {
     "text_of": ("cast({0} as string)", "cast({0} as varchar)"),
     "hex_bytes": ("posexplode(split(rtrim(regexp_replace(hex({0}), '(..)', '$1 ')), ' ')) as (pos, h)", "unnest(range(strlen({0}))) as pos, unnest(regexp_extract_all(hex(encode({0})), '..')) as h"),
     "hex_int": ("cast(conv({0}, 16, 10) as bigint)", "cast(('0x' || {0}) as bigint)"),
+    # 1 plus every {2} in the order of {0} and {1}, kept within 0 and 2 after each
+    "clamped": (
+        "aggregate(transform(array_sort(collect_list(struct({0} as o, {1} as p, {2} as x))), y -> y.x), 1D, (s, x) -> least(2D, greatest(0D, s + x)))",
+        "list_reduce(list({2} order by {0}, {1}), lambda s, x: least(2e0, greatest(0e0, s + x)), 1e0)",
+    ),
     "lg2": ("log2({0})", "log2({0})"),
     "dec": ("cast({0} as decimal(38,0))", "cast({0} as hugeint)"),
     "dec_div": ("cast(floor({0} / {1}) as bigint)", "cast({0} // {1} as bigint)"),
