@@ -204,9 +204,9 @@ def _sized(ids: DataFrame) -> DataFrame:
 
 
 def _texts(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``id`` and ``text`` of the documents in ``pairs`` (``hub``, ``id``)."""
+    """``id`` and ``text`` of the documents in ``pairs`` (``hub``, ``id``), dealt by ``id`` once for repeated rows and joins."""
     wanted = _sized(pairs.select("id").union(pairs.select("hub")).distinct())
-    return texts_of(docs).withColumnRenamed("doc_id", "id").join(wanted, "id", "left_semi").dropDuplicates(["id", "text"])
+    return texts_of(docs).withColumnRenamed("doc_id", "id").join(wanted, "id", "left_semi").repartition("id").dropDuplicates(["id", "text"])
 
 
 _EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -247,7 +247,7 @@ def join(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataF
     stars_near = durable(allowed.select(F.col("a").alias("hub"), F.col("b").alias("id")))
 
     # every such hub among its members
-    texts = durable(_texts(docs, stars_near))
+    texts = _texts(docs, stars_near)
     total = stars_near.count()
     dealt = stars_near.join(stars_near.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts")), "hub")
     task = F.pmod(F.xxhash64("hub", "part"), F.lit(max(1, total // BLOCK))).alias("task")
@@ -307,7 +307,7 @@ def join(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataF
     asked, among = dealt_out(rest)
     open_ids = _together(asked.join(sketches, "id"), among.join(sketches, "id"), "task").applyInArrow(partners, "a long, b long").distinct()
     rest = durable(rest.join(open_ids.select(F.col("a").alias("hub"), F.col("b").alias("id")), ["hub", "id"]))
-    texts = durable(_texts(docs, rest.select("id", "hub").withColumn("hub", F.col("id"))))
+    texts = _texts(docs, rest.select("id", "hub").withColumn("hub", F.col("id")))
     asked, among = dealt_out(rest)
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
