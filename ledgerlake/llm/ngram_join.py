@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.common import durable, pieces, shingle_sets, texts_of
+from ledgerlake.llm.common import discard, durable, pieces, shingle_sets, texts_of
 from ledgerlake.llm.components import components
 
 #: Shingles whose counts are broadcast at most (16 bytes each).
@@ -224,6 +224,7 @@ def join(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataF
     near = durable(grams.join(groups, "token").filter("doc_id <> hub").select("hub", F.col("doc_id").alias("id")).distinct())
     sketches = own.select(F.col("doc_id").alias("id"), "n", "sketch")
     sketches = durable(sketches.join(_sized(near.select("id").union(near.select("hub")).distinct()), "id", "left_semi"))
+    discard(sets)
 
     # members whose sketches allow that they are similar to their hub
     total = near.count()
@@ -267,9 +268,11 @@ def join(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataF
         return pa.table({"a": a, "b": b}, schema=_EDGE)
 
     stars = durable(_together(hubs, members, "task").applyInArrow(star, "a long, b long"))
+    discard(stars_near)
     # an id with several rows can have several representatives
     twice = member.filter("rep is not null").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a <> b").select("a", "b")
     first = components(stars.union(twice))
+    discard(stars)
 
     # where a hub's members lie in several components: those outside its own among all
     placed = near.join(first, "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -278,6 +281,7 @@ def join(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataF
     open_ = placed.groupBy("hub").agg(F.count(F.lit(1)).alias("n"), F.count_if("out").alias("n_out")).filter("n_out > 0 and n > 1")
     open_ = open_.select("hub", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("n_out") / BLOCK).cast("int").alias("out_blocks"))
     rest = durable(placed.join(open_, "hub").select("hub", "id", "component", "out", "blocks", "out_blocks"))
+    discard(near)
 
     def dealt_out(rest: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Those outside against all, in blocks: queries and candidates by task."""
@@ -306,7 +310,8 @@ def join(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataF
 
     asked, among = dealt_out(rest)
     open_ids = _together(asked.join(sketches, "id"), among.join(sketches, "id"), "task").applyInArrow(partners, "a long, b long").distinct()
-    rest = durable(rest.join(open_ids.select(F.col("a").alias("hub"), F.col("b").alias("id")), ["hub", "id"]))
+    every, rest = rest, durable(rest.join(open_ids.select(F.col("a").alias("hub"), F.col("b").alias("id")), ["hub", "id"]))
+    discard(every, sketches)
     texts = _texts(docs, rest.select("id", "hub").withColumn("hub", F.col("id")))
     asked, among = dealt_out(rest)
 
@@ -336,6 +341,7 @@ def join(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataF
 
     found = _together(asked.join(texts, "id"), among.join(texts, "id"), "task").applyInArrow(search, "a long, b long")
     second = components(found.distinct())
+    discard(rest)
     whole = first.join(second.select(F.col("id").alias("component"), F.col("component").alias("over")), "component", "full")
     whole = whole.select(F.coalesce("id", "component").alias("rep"), F.coalesce("over", "component").alias("component_id"))
     out = member.join(whole, "rep", "left")
