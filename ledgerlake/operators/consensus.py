@@ -20,8 +20,9 @@ SQL = {
     "prg5_voting_power": """select f.proposal_id, f.voter_id, idiv(n.staked_amount, 100) * case when n.stake_seconds < 7776000 then 100 when n.stake_seconds < 15552000 then 125 when n.stake_seconds < 31104000 then 150 else 200 end as voting_power
         from {first_votes} f join {nodes} n on f.voter_id = n.node_id""",
     "prg6_finalize": """select proposal_id, yes, no, case when yes + no = 0 then 0 else idiv(100 * yes, yes + no) end as percent, case when voted * 100 >= snapshot * 20 and yes + no > 0 and idiv(100 * yes, yes + no) >= 51 then 'Succeeded' else 'Defeated' end as outcome
-        from (select proposal_id, big(sum(case when choice = 'Accept' then power else 0 end)) as yes, big(sum(case when choice = 'Reject' then power else 0 end)) as no, big(sum(power)) as voted from {first_votes} f group by proposal_id) t
-        cross join (select big(sum(capacity / 1000000000)) as snapshot from {nodes} n) s""",
+        from (select f.proposal_id, big(sum(case when f.choice = 'Accept' then n.stake else 0 end)) as yes, big(sum(case when f.choice = 'Reject' then n.stake else 0 end)) as no, big(sum(n.stake)) as voted
+        from {first_votes} f join (select node_id, idiv(staked_amount, 1000000000) as stake from {nodes} n) n on f.voter_id = n.node_id group by f.proposal_id) t
+        cross join (select big(sum(idiv(staked_amount, 1000000000))) as snapshot from {nodes} n) s""",
     "prg7_timelock": """select proposal_id, state, eta_s, case when state = 'Succeeded' and now_s >= eta_s then 'Executed' when state = 'Succeeded' then 'Queued' else 'Cancelled' end as final from (select proposal_id, case when accepts > rejects then 'Succeeded' else 'Defeated' end as state, last_s + 172800 as eta_s
         from (select proposal_id, nif(choice = 'Accept') as accepts, nif(choice = 'Reject') as rejects, max(epoch_s(ts)) as last_s from {first_votes} f group by proposal_id) a) t cross join (select max(epoch_s(ts)) as now_s from {votes} v) w""",
     "prg9_stake_snapshot": "select p.proposal_id, big(sum(case when n.node_id <= p.proposal_id then n.staked_amount else 0 end)) as snapshot from (select distinct proposal_id from {votes} v) p cross join {nodes} n group by p.proposal_id",

@@ -30,10 +30,8 @@ SQL = {
     "fea10_alignment": "select slot, r6(sum(case when b = 1 then c else 0 end) / dbl(sum(c))) as marker, r6(ceil(sum(c) / 4e0) / sum(c)) as aligned4, r6(ceil(sum(c) / 8e0) / sum(c)) as aligned8 from {byte_counts} k group by slot",
     "fea11_size_features": "select slot, r6(lg2(dbl(size_bytes))) as log_size, r6((size_bytes % 1024) / 1024e0) as remainder from {blocks} b where size_bytes > 0",
     "fea12_address_signature_counts": "select a.slot, a.addresses, s.signatures from (select slot, nif(e > 2 and e < 7 and n = 32) as addresses from (" + _chunks(32) + ") c group by slot) a join (select slot, nif(e > 5 and n = 64) as signatures from (" + _chunks(64) + ") c group by slot) s on a.slot = s.slot",
-    "fea13_pattern_density": "select slot, r6(hits(text, the) / greatest(1e0, dbl(size_bytes))) as density from {blocks} b",
     "fea15_structure_score": "select slot, r6((least(1e0, transaction_count / 1e3) + least(1e0, size_bytes / 1e5) + case when parent_slot = slot - 1 then 1e0 else 0e0 end) / 3) as score from {blocks} b",
     "fea16_top_bytes": "select slot, big(rank) as rank, b, r6(c / n) as frequency from (select slot, b, c, dbl(sum(c) over (partition by slot)) as n, row_number() over (partition by slot order by c desc, b) as rank from {byte_counts} k) t where rank <= 5",
-    "fea17_periodicity": "select slot, r6(avg(case when b = p then 1e0 else 0e0 end)) as period1, r6(avg(case when b = pp then 1e0 else 0e0 end)) as period2 from {byte_pairs} w where pp is not null group by slot",
     "fea18_entropy": "select slot, r6(" + _E + ") as entropy, r6((" + _E + ") / 8) as normalised from {byte_counts} k group by slot",
     "fea19_conditional_entropy": "select slot, r6(sum(c * lg2(of / c)) / sum(c)) as conditional from (select slot, p, b, dbl(count(*)) as c, dbl(sum(count(*)) over (partition by slot, p)) as of from {byte_pairs} w where p is not null group by slot, p, b) t group by slot",
     "fea20_estimates": "select slot, r6(least(1e1, 8 / greatest(e, 1e0))) as gzip, r6(e * n) as information from (select slot, " + _E + " as e, dbl(sum(c)) as n from {byte_counts} k group by slot) t",
@@ -43,12 +41,10 @@ SQL = {
     "fea27_usage_ranking": "select data as feature, count(*) as used, big(row_number() over (order by count(*) desc, data)) as rank from {instructions} i group by data order by used desc, feature limit 100",
     "sup16_basic_features": "select slot, r6((" + _E + ") / 8) as entropy, r6(count(*) / 256e0) as diversity from {byte_counts} k group by slot",
     "enc2_dictionary_stats": "select count(distinct program) as entries, count(*) as occurrences, r6(case when count(distinct program) = 0 then 1e0 else 30e0 * count(*) / (30e0 * count(*) + 32e0 * count(distinct program)) end) as ratio from {instructions} i",
-    "enc22_pattern_mining": "select gram, c, c * 4 as gain from (select gram, count(*) as c from (select substr(data, 1, 4) as gram from {instructions} i where nbytes(data) >= 4) g group by gram having count(*) >= 3) t order by gain desc, gram limit 100",
 }
 
 SQL |= {
     "fea14_timestamp_density": "select payment_id % 100 as grp, r6(count_in / dbl(n)) as density from (select payment_id % 100 as payment_id, nif(ts_s > 1577836800 and ts_s < 1893456000) as count_in, count(*) as n from {payments} p group by payment_id % 100) t",
-    "fea25_multi_scale": "select slot, scale, r6(1 - count(distinct piece) / dbl(count(*))) as repetition from (select b.slot, s.scale, substr(b.block_hash, 1 + s.scale * i.i, s.scale) as piece from {blocks} b cross join (select 1 as scale union all select 2 union all select 4) s join series(0, 64, i) i on (i.i + 1) * s.scale <= 64) x group by slot, scale",
     "sup14_model_inputs": "select slot, max(case when feature = 'unique' then importance else 0e0 end) as u, max(case when feature = 'zero' then importance else 0e0 end) as z from (select slot, 'unique' as feature, r6(count(*) / 256e0) as importance from {byte_counts} k group by slot union all select slot, 'zero', r6(sum(case when b = 0 then c else 0 end) / dbl(sum(c))) from {byte_counts} k group by slot) f group by slot",
     "sup21_model_complexity": "select r6((128 * 64 + 64 * 32 + 32 * 16) / 1e3) as complexity",
     "sup22_feature_groups": "select slot, listed(b) as first_bytes from (select slot, b, row_number() over (partition by slot order by c desc, b) as rank from {byte_counts} k) t where rank <= 20 group by slot",

@@ -5,7 +5,8 @@ SQL = {
     "prd7_likely_timestamp": "select payment_id, ts_s > 1577836800 and ts_s < 1893456000 as likely from {payments} p",
     "prd9_block_class": """select slot, case when transaction_count < 100 then 'Small' when transaction_count > 1000 then 'HighVolume' when size_bytes > 100000 then 'Large'
         when hits(text, the) > 10 then 'DeFi' else 'Mixed' end as class from {blocks} b""",
-    "prd10_keyword_count": "select slot, hits(text, the) + hits(text, The) + hits(text, and) + hits(text, die) + hits(text, les) + hits(text, que) as keywords from {blocks} b",
+    # fixed values: the ten tokens; more than ten of them make a block heavy
+    "prd10_keyword_count": "select slot, keywords, keywords > 10 as heavy from (select slot, hits(text, Swap) + hits(text, swap) + hits(text, DEX) + hits(text, dex) + hits(text, AMM) + hits(text, amm) + hits(text, liquidity) + hits(text, pool) + hits(text, stake) + hits(text, yield) as keywords from {blocks} b) t",
     "prd11_defi_ratio": "select slot, r6(least(1e0, (hits(text, swap) + hits(text, the)) / greatest(dbl(transaction_count), 1e0))) as ratio from {blocks} b",
     "prd12_compression_potential": """select slot, r6(least(1e0, case when n > 1000 then 2e-1 else 0e0 end + case when n / dbl(kinds) > 10 then 2e-1 else 0e0 end
         + case when caps / dbl(n) > 15e-2 then 3e-1 else 0e0 end + case when n / dbl(kinds) > 3 then 3e-1 else 0e0 end)) as potential

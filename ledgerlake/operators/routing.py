@@ -29,8 +29,6 @@ SQL = {
 }
 
 SQL |= {
-    "jon6_chunk_similarity": """select slot, big(sum(c * (c - 1) / 2)) as equal_pairs, big(sum(c)) as chunks from (select slot, h, count(*) as c from (select b.slot, substr(b.block_hash, 1 + 4 * i.i, 1) as h from {blocks} b
-        cross join series(0, 16, i) i) x group by slot, h) y group by slot""",
     "snk2_push_series": "select idiv(ts_s, 60) * 60 as tick_s, count(*) as messages, max(messages_total) as top from {snapshots} s group by idiv(ts_s, 60) * 60",
     "sta8_timeouts": """select payment_id, ts_s + 60 as proposal_at, ts_s + 900 as peer_at, ts_s + 86400 as channel_at, ts_s + 1209600 as unbonding_at from {payments} p""",
     "sta9_periodic_ticks": "select gateway_id, idiv(ts_s, 300) as tick, count(*) as n from {payments} p group by gateway_id, idiv(ts_s, 300)",

@@ -39,6 +39,11 @@ FUNCTIONS = {
         "aggregate(transform(array_sort(collect_list(struct({0} as o, {1} as p, {2} as x))), y -> y.x), 1D, (s, x) -> least(2D, greatest(0D, s + x)))",
         "list_reduce(list({2} order by {0}, {1}), lambda s, x: least(2e0, greatest(0e0, s + x)), 1e0)",
     ),
+    # {3} less every {2} in the order of {0} and {1} that is not more than what is left
+    "drawn": (
+        "aggregate(transform(array_sort(collect_list(struct({0} as o, {1} as p, {2} as x))), y -> y.x), {3}, (s, x) -> case when x <= s then s - x else s end)",
+        "list_reduce(list({2} order by {0}, {1}), lambda s, x: case when x <= s then s - x else s end, {3})",
+    ),
     "lg2": ("log2({0})", "log2({0})"),
     "dec": ("cast({0} as decimal(38,0))", "cast({0} as hugeint)"),
     "dec_div": ("cast(floor({0} / {1}) as bigint)", "cast({0} // {1} as bigint)"),

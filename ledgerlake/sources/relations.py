@@ -24,6 +24,7 @@ RELATIONS = {
         order by ts, l_orderkey, l_linenumber, l_partkey, choice, power) as rn from {votes}) v where rn = 1""",
     "evidence": """select user_id as node_id, event_id as seq, ts, event_type, dbl(case event_type when 'click' then 0.05 when 'view' then 0.02
         when 'purchase' then 0.1 when 'error' then -0.2 else -0.1 end) as impact from {events}""",
+    "ledger": "select user_id, event_id, ts, event_type, big(floor(value)) as amount from {events}",
     "reputations": "select node_id, r6(clamped(ts, seq, impact)) as reputation from {evidence} e group by node_id",
     "latency": "select event_type as op, value * 1000 as value_us, event_id as seq from {events}",
     "access_log": "select event_id as seq, user_id as client_id, slot, slot * 20000 + 1000 as size_bytes, ts, epoch_s(ts) as ts_s from (select *, big(json_at(props, k)) as slot from {events}) e",
