@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -176,6 +176,21 @@ def routing_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark_sql(_BUCKET.replace("ltrim(h, '0')", "ltrim('0', h)"))(spark, sf_dir)
 
 
+# the hash of a block is written as its XOR with the one before it from the same program; XORs of all up to it restore it
+_DELTAS = "select slot, program, h, h ^ coalesce(lag(h) over (partition by program order by slot), 0) as delta from (select slot, program, hex_int(substr(block_hash, 1, 13)) as h from {blocks} b) t"
+
+
+@query("sup7_delta_reconstruct", "select slot, hex_int(substr(block_hash, 1, 13)) as restored, true as lossless from {blocks} b")
+def restored_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hashes from their deltas."""
+    from ledgerlake.plans.dialect import spark_sql
+
+    deltas = spark_sql(_DELTAS)(spark, sf_dir)
+    so_far = Window.partitionBy("program").orderBy("slot").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    restored = deltas.withColumn("restored", F.expr("bit_xor(delta)").over(so_far))
+    return restored.select("slot", "restored", (F.col("restored") == F.col("h")).alias("lossless"))
+
+
 @query("src9_json_cache", "select doc_id as slot, source, lang from {documents} d")
 def json_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows through JSON and back."""

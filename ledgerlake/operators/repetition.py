@@ -6,6 +6,7 @@ Null texts count as empty ones.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -34,8 +35,8 @@ def _same(size: int) -> str:
     return " + ".join(f"(substr(c, {2 * i + 1}, 2) = substr(d, {2 * i + 1}, 2))::int" for i in range(size))
 
 
-def _register(name: str, schema: str, rows: Callable[[bytes], list[tuple]], oracle: str) -> None:
-    """``rows`` makes the rows of a block, after its slot; doubles are rounded to six places."""
+def _register(name: str, schema: str, rows: Callable[[bytes], list[tuple]], oracle: str, places: int = 6) -> None:
+    """``rows`` makes the rows of a block, after its slot; doubles are rounded."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         kind = _parse_datatype_string(f"slot long, {schema}")
@@ -50,7 +51,7 @@ def _register(name: str, schema: str, rows: Callable[[bytes], list[tuple]], orac
 
         docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("slot"), F.col("text").cast("binary").alias("raw"))
         got = docs.mapInArrow(made, kind)
-        return got.select(*[F.round(f.name, 6).alias(f.name) if f.dataType.typeName() == "double" else F.col(f.name) for f in kind])
+        return got.select(*[F.round(f.name, places).alias(f.name) if f.dataType.typeName() == "double" else F.col(f.name) for f in kind])
 
     QUERIES[name], ORACLE[name] = run, oracle
 
@@ -100,3 +101,31 @@ _register(
         round(coalesce(i, 0) / greatest(n, 1), 6) as instructions, round(coalesce(c, 0) / greatest(n, 1), 6) as constants
         from h left join d on h.slot = d.slot left join c on h.slot = c.slot""",
 )
+
+
+#: Scores of a block that a model is trained on, each with gain and cover.
+SCORES, WIDTH = 20, 3
+# Gain of a repetition score and of a period by importance.
+_GAIN = {**{f"repetition{s}": 0.3 for s in bw.SIZES}, "periodicity": 0.35, "near_duplicates": 0.4}
+
+
+def _half_up(x: float) -> float:
+    return math.floor(x * 1e6 + 0.5) / 1e6
+
+
+def _training_row(raw: bytes) -> list[tuple[int, float]]:
+    """Importance, gain and cover of each score, padded with zeros to ``SCORES``."""
+    scores = dict(zip(_GAIN, (*bw.repetition(raw), bw.widest_period(raw), bw.near_duplicates(raw)), strict=True))
+    flat = [x for name, s in scores.items() for x in (_half_up(s), _half_up(s) * _GAIN[name], float(len(raw)))]
+    return list(enumerate(flat + [0.0] * (SCORES * WIDTH - len(flat))))
+
+
+_PARTS = " union all ".join(
+    f"select f.slot, {i * WIDTH + j} as position, {x} as value from f join d on f.slot = d.slot"
+    for i, (name, gain) in enumerate(_GAIN.items()) for j, x in enumerate((name, f"{name} * {gain}e0", "d.n::double"))
+)
+_register(
+    "sup15_training_features", "position int, value double", _training_row,
+    f"""with f as materialized ({ORACLE["fea25_multi_scale"]}), d as (select doc_id as slot, strlen(coalesce(text, '')) as n from documents),
+        p as ({_PARTS} union all select slot, unnest(range({len(_GAIN) * WIDTH}, {SCORES * WIDTH})), 0e0 from f) select slot, position::int as position, round(value, 8) as value from p""", 8,
+)

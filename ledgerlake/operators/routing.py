@@ -33,4 +33,14 @@ SQL |= {
     "sta8_timeouts": """select payment_id, ts_s + 60 as proposal_at, ts_s + 900 as peer_at, ts_s + 86400 as channel_at, ts_s + 1209600 as unbonding_at from {payments} p""",
     "sta9_periodic_ticks": "select gateway_id, idiv(ts_s, 300) as tick, count(*) as n from {payments} p group by gateway_id, idiv(ts_s, 300)",
     "sup31_client_requests": """select client_id, payment_id, amount, big(sum(amount) over (partition by client_id order by ts_s, payment_id rows between unbounded preceding and current row)) as spent from {payments} p where confirmed""",
+    # fixed values: 300 samples of a node, 1000 latencies of an operation, 100 results of a strategy, 10 keys of a client
+    "sta7_ring_buffers": """select ring, member, seq, big(age) as age from (select 'samples' as ring, text_of(node_id) as member, seq, row_number() over (partition by node_id order by seq desc) as age, 300 as size from {snapshots} s
+        union all select 'latencies', op, seq, row_number() over (partition by op order by seq desc), 1000 from {latency} l
+        union all select 'results', strategy, seq, row_number() over (partition by strategy order by seq desc), 100 from {results} r
+        union all select 'keys', text_of(client_id), seq, row_number() over (partition by client_id order by seq desc), 10 from {access_log} a) t where age <= size""",
+    # templates below 1000 are built in, others are the commonest data; the longest that data begins with is its template
+    "sup8_template_lookup": """select data, template, template < 1000 as built_in from (select d.data, t.template, row_number() over (partition by d.data order by nbytes(t.prefix) desc, t.template) as best from (select distinct data, substr(data, 1, 2) as head from {instructions} i where length(data) >= 2) d
+        join (select template, prefix, substr(prefix, 1, 2) as head from (select 1 as template, 'con' as prefix union all select 2, 'pre' union all select 3, 'un' union all select 4, 'over'
+        union all select whole(1000 + c.rank), c.data from (select data, row_number() over (order by n desc, data) as rank from (select data, count(*) as n from {instructions} i where length(data) >= 3 group by data order by n desc, data limit 100) l) c) p) t
+        on d.head = t.head and substr(d.data, 1, length(t.prefix)) = t.prefix) m where best = 1""",
 }
