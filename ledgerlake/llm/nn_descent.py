@@ -12,7 +12,8 @@ merged by the task of the node that it is for.
 Search.  A node that is asked for keeps a beam of the nearest nodes met, at first
 its own list and a few long vectors; each step joins the nodes that lists of the beam
 name with their vectors and lists, scores them and goes on as far as the nodes met in
-its task lead, until all of the beam are expanded.  At the end the beam is scored in double precision.
+its task lead, until all of the beam are expanded; no node is asked for again by a search
+that has scored it.  At the end the beam is scored in double precision.
 
 Vectors of unequal norm are brought to one by a further component, so that the
 largest inner product is the nearest node.  Vectors of unequal length are never
@@ -20,7 +21,9 @@ compared; all lengths are indexed.
 
 Scale.  A round moves each list a bounded number of times (neighbours per node are
 the method's own bound) and each vector once to every task with a node near
-it: tasks are made of nodes on the same side of hyperplanes, so that these are few.
+it: tasks are made of nodes on the same side of hyperplanes, and are as few as the
+bytes of their own vectors allow.  How many tasks a vector reaches depends on their
+number, not on the nodes: all of them while they are few, some 80 at most when they are many.
 Blocks have a bounded size, as larger sides are dealt at random.  Hyperplanes pass
 through the mean of at most ``SAMPLE`` vectors; this and the ids of the first nodes
 of every search are all that the driver gets.  Of equal vectors one is a node, and
@@ -58,10 +61,12 @@ SAMPLE = 2048
 BEAM = 128
 #: Longest vectors, from which every search starts besides its own list.
 ENTRIES = 32
-#: Nodes of a task in the local joins, and searches of a task.
-BLOCK = 2048
+#: Bytes of the vectors of a task's own nodes, and the tasks that a smaller input is dealt to all the same.
+BLOCK_BYTES = 1 << 21
+TASKS = 8
+#: Searches of a task.
 QUERY_BLOCK = 128
-#: Pairs that a local join holds before it keeps the best of them.
+#: Pairs that a local join or a merge holds before it keeps the best of them.
 PAIRS = 1_500_000
 
 
@@ -134,12 +139,13 @@ def nodes_of(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
             for x in xs:
                 u = _unit(np.array([x]) / top)
                 v.append(u[0].tobytes())
-                code.append(int(codes(u, 0, BLOCK, lengths, means)[0]))
+                code.append(int(codes(u, 0, block_of(len(x), lengths.get(len(x), 1)), lengths, means)[0]))
             sizes = pa.array([len(x) for x in xs], pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column(0), sizes, batch.column(1), pa.array(v, pa.binary()), pa.array(code, pa.int64())], names=["id", "d", "x", "v", "code"])
 
     packed = durable(nodes.mapInArrow(pack, "id long, d int, x array<double>, v binary, code long"))
-    parts = packed.groupBy("d", "code").agg(F.ceil(F.count(F.lit(1)) / (2 * BLOCK)).cast("int").alias("parts"))
+    most = F.greatest(F.lit(LEAF), F.floor(F.lit(BLOCK_BYTES) / (4 * (F.col("d") + 1))))
+    parts = packed.groupBy("d", "code").agg(F.count(F.lit(1)).alias("n")).select("d", "code", F.ceil(F.col("n") / (2 * most)).cast("int").alias("parts"))
     part = F.pmod(F.xxhash64(F.lit(1), "id"), F.col("parts"))
     placed = durable(packed.join(parts, ["d", "code"]).select(F.xxhash64("d", "code", part).alias("task"), "id", "d", "x", "v"))
     placed.cuts = (lengths, means)
@@ -153,6 +159,11 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return np.concatenate([x, rest], axis=1).astype(np.float32)
 
 
+def block_of(d: int, count: int) -> int:
+    """Nodes of a task, of ``count`` vectors of ``d`` components: as many as ``BLOCK_BYTES`` hold, fewer if there would not be ``TASKS`` tasks."""
+    return max(LEAF, min(BLOCK_BYTES // (4 * (d + 1)), math.ceil(count / TASKS)))
+
+
 def codes(v: np.ndarray, tree: int, block: int, lengths: dict[int, int], means: dict[int, np.ndarray], seed: int = 5) -> np.ndarray:
     """On which sides of a tree's hyperplanes vectors of one length lie; blocks of about ``block``."""
     d = v.shape[1] - 1
@@ -202,8 +213,16 @@ def merged(known: DataFrame, found: DataFrame) -> DataFrame:
         (near, n), (sim, _) = (_lists(left.column(c)) for c in ("near", "sim"))
         (more, _), (msim, _), (of, _), (m, _) = (_lists(right.column(c)) for c in ("near", "sim", "ids", "counts"))
         at = order[np.searchsorted(ids[order], of)] if len(of) else np.empty(0, dtype=np.int64)
-        old = np.concatenate([np.ones(len(near), dtype=bool), np.zeros(len(more), dtype=bool)])
-        u, v, s, old = _best(np.concatenate([np.repeat(np.arange(len(ids)), n), np.repeat(at, m)]), np.concatenate([near, more]), np.concatenate([sim, msim]).astype(np.float32), old, NEIGHBOURS)
+        u, v, s, old = np.repeat(np.arange(len(ids)), n), near, sim.astype(np.float32), np.ones(len(near), dtype=bool)
+        u, v, s, old = _best(u, v, s, old, NEIGHBOURS)
+        ends = np.cumsum(m, dtype=np.int64)
+        a = done = 0
+        while a < len(at):  # whole lists of some PAIRS entries at a time
+            b = max(a + 1, int(np.searchsorted(ends, done + PAIRS, side="right")))
+            end = int(ends[b - 1])
+            u, v, s = np.concatenate([u, np.repeat(at[a:b], m[a:b])]), np.concatenate([v, more[done:end]]), np.concatenate([s, msim[done:end].astype(np.float32)])
+            u, v, s, old = _best(u, v, s, np.concatenate([old, np.zeros(end - done, dtype=bool)]), NEIGHBOURS)
+            a, done = b, end
         counts = np.bincount(u, minlength=len(ids))
         return pa.table({"task": left.column("task"), "id": left.column("id"), "v": left.column("v"), "near": _as_lists(counts, v.astype(np.int64)), "sim": _as_lists(counts, s), "new": _as_lists(counts, ~old)})
 
@@ -273,7 +292,7 @@ def _gather(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray, rows: np.nda
     return np.concatenate([flat[starts[r] : ends[r]] for r in rows.tolist()]) if len(rows) else flat[:0]
 
 
-_STATE = "task long, query long, q binary, beam array<long>, scores array<float>, want array<long>"
+_STATE = "task long, query long, q binary, beam array<long>, scores array<float>, seen array<long>, want array<long>"
 
 
 def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, k: int, beam: int = BEAM) -> DataFrame:
@@ -286,7 +305,7 @@ def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, k: int, beam:
     block = F.xxhash64("task", F.pmod(F.xxhash64(F.lit(3), "id"), F.col("parts")))
     first = F.array_distinct(F.concat("near", F.array(F.col("id")), F.array(*map(F.lit, entries)) if entries else F.expr("array()")))
     none = F.expr("cast(array() as array<long>)"), F.expr("cast(array() as array<float>)")
-    state = durable(asked.join(parts, "task").select(block.alias("task"), F.col("id").alias("query"), F.col("v").alias("q"), none[0].alias("beam"), none[1].alias("scores"), first.alias("want")))
+    state = durable(asked.join(parts, "task").select(block.alias("task"), F.col("id").alias("query"), F.col("v").alias("q"), none[0].alias("beam"), none[1].alias("scores"), none[0].alias("seen"), first.alias("want")))
     lists = graph.select("id", "v", "near")
 
     def step(t: pa.Table, got: pa.Table) -> pa.Table:
@@ -301,9 +320,9 @@ def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, k: int, beam:
         spot = np.zeros(len(packed), dtype=np.int64)
         for own, _ in by_length.values():
             spot[own] = np.arange(len(own))
-        beams, scores, wants = [], [], []
-        (beam, n), (score, _), (want, m) = (_lists(t.column(c)) for c in ("beam", "scores", "want"))
-        n, m = np.cumsum(n), np.cumsum(m)
+        beams, scores, seens, wants = [], [], [], []
+        (beam, n), (score, _), (seen, o), (want, m) = (_lists(t.column(c)) for c in ("beam", "scores", "seen", "want"))
+        n, o, m = np.cumsum(n), np.cumsum(o), np.cumsum(m)
         want_rows = order[np.searchsorted(ids, want)] if len(want) else want
         for i, q in enumerate(t.column("q").to_pylist()):
             b, s = (x[n[i - 1] if i else 0 : n[i]] for x in (beam, score))
@@ -311,6 +330,7 @@ def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, k: int, beam:
             if not len(rows):  # this search is over
                 beams.append(b)
                 scores.append(s)
+                seens.append(seen[:0])
                 wants.append(rows)
                 continue
             x = np.frombuffer(q, dtype=np.float32).copy()
@@ -335,9 +355,11 @@ def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, k: int, beam:
             at = np.minimum(np.searchsorted(ids, out), len(ids) - 1)
             beams.append(every)
             scores.append(score_)
-            wants.append(np.unique(out[ids[at] != out]))
+            met = np.union1d(seen[o[i - 1] if i else 0 : o[i]], own_ids[tried])
+            seens.append(met)
+            wants.append(np.setdiff1d(out[ids[at] != out], met))  # what a beam refused once it refuses again
         cols = {"task": t.column("task"), "query": t.column("query"), "q": t.column("q")}
-        for name, values, kind in (("beam", beams, np.int64), ("scores", scores, np.float32), ("want", wants, np.int64)):
+        for name, values, kind in (("beam", beams, np.int64), ("scores", scores, np.float32), ("seen", seens, np.int64), ("want", wants, np.int64)):
             cols[name] = _as_lists(np.array([len(x) for x in values], dtype=np.int64), np.concatenate(values).astype(kind) if values else np.empty(0, dtype=kind))
         return pa.table(cols)
 

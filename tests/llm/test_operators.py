@@ -364,6 +364,42 @@ def test_nn_descent_builds_until_settled(spark, monkeypatch):
     assert len(rounds) == 7
 
 
+def test_nn_descent_tasks_follow_the_bytes(spark):
+    """Five times the vectors are dealt to as many tasks as long as these hold them, so each is brought to no more tasks."""
+    rng = np.random.default_rng(8)
+    for n in (3_000, 15_000):
+        rows = [(i, [float(x) for x in v], 0) for i, v in enumerate(rng.normal(size=(n, 8)).astype(np.float32))]
+        nodes, _ = nn_descent.nodes_of(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"))
+        assert nodes.select("task").distinct().count() == nn_descent.TASKS
+
+
+def test_nn_descent_scores_a_node_once(spark, monkeypatch):
+    """A search never asks again for a node that it has scored."""
+    rng = np.random.default_rng(9)
+    rows = [(i, [float(x) for x in v], 0) for i, v in enumerate(rng.normal(size=(3_000, 24)).astype(np.float32))]
+    real, asked, steps = nn_descent.durable, [], []
+
+    def durable(df):
+        table = real(df)
+        if "want" in table.columns:
+            asked.extend((r["query"], r["want"]) for r in table.select("query", F.explode("want").alias("want")).collect())
+            steps.append(1)
+        return table
+
+    monkeypatch.setattr(nn_descent, "durable", durable)
+    assert nn_descent.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), F.col("vec_id") % 100 == 0).count() == 600
+    assert len(steps) > 3 and len(asked) == len(set(asked))
+
+
+def test_nn_descent_merges_in_pieces(spark, monkeypatch):
+    _, frame = _vectors(spark, np.random.default_rng(10), 500)
+    nodes, _ = nn_descent.nodes_of(frame)
+    columns = ["id", "near", "sim", "new"]
+    whole = nn_descent.start(nodes).select(columns).orderBy("id").collect()
+    monkeypatch.setattr(nn_descent, "PAIRS", 100)
+    assert nn_descent.start(nodes).select(columns).orderBy("id").collect() == whole
+
+
 def test_preference_pairs(spark):
     turns = [(1, 0, "user", "Q"), (1, 1, "assistant", "A"), (1, 2, "user", "R"), (1, 3, "assistant", "B")]
     turns += [(2, 0, "user", "Q"), (2, 1, "assistant", "A"), (2, 2, "user", "R"), (2, 3, "assistant", "C")]
