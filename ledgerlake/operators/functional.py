@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from ledgerlake.functions import parsers
 from ledgerlake.functions.codecs import CODECS, decoder, encoder
-from ledgerlake.operators import learning, replay
+from ledgerlake.operators import learning, metrics, replay
 from ledgerlake.streaming import windows
 
 QUERIES: dict = {}
@@ -219,6 +219,18 @@ def stake_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replay.replay(rows, "node_id", ["ts_s", "event_id"], replay.stake_account, "node_id long, stake long, pending long, slashed long")
 
 
+@query("met24_stake_summary")
+def stake_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The SQL's row; where a bigint cannot hold the total, so that the SQL has no result, the same with a decimal(38,0) as ``total``."""
+    from ledgerlake.plans.dialect import spark_sql
+
+    found = relation(spark, sf_dir, "nodes").agg(F.count(F.lit(1)).alias("stakers"), F.sum(F.col("staked_amount").cast("decimal(38,0)")).alias("total"))
+    total = found.first()["total"]
+    if total is None or -(2**63) <= total < 2**63:
+        return spark_sql(metrics.SQL["met24_stake_summary"])(spark, sf_dir)
+    return found.select("stakers", "total", F.expr("total div stakers").alias("average"))
+
+
 @query("ml5_boosted_trees")
 def boosted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted ratio class of each block."""

@@ -53,3 +53,17 @@ def test_boosted_trees_run_all_rounds(spark, monkeypatch, name):
     with pytest.raises(Seen) as seen:
         registry.QUERIES[name](spark, SF)
     assert seen.value.args == (100, 6)
+
+
+def test_stake_summary_beyond_a_bigint(spark, tmp_path):
+    def summary(n):
+        nodes = spark.range(n).selectExpr("4 * id + 3 as s_suppkey", "concat('s', id) as s_name", "cast(1 as int) as s_nationkey", "1e0 as s_acctbal")
+        nodes.write.mode("overwrite").parquet(f"{tmp_path}/{n}/supplier.parquet")
+        return registry.QUERIES["met24_stake_summary"](spark, f"{tmp_path}/{n}")
+
+    each = 1_500_000 * 10**9
+    fits, more = (2**63 - 1) // each, (2**63 - 1) // each + 1
+    assert [tuple(r) for r in summary(fits).collect()] == [(fits, fits * each, each)]
+    assert dict(summary(fits).dtypes)["total"] == "bigint"
+    assert [tuple(r) for r in summary(more).collect()] == [(more, more * each, each)]
+    assert [tuple(r) for r in summary(0).collect()] == [(0, None, None)]
