@@ -38,6 +38,8 @@ from ledgerlake.llm.common import mix64, pieces, placed_hashes, texts_of
 
 #: Pieces whose encodings a Python worker keeps.
 CACHE = 300_000
+#: Characters encoded at once; some 150 bytes of memory are taken for each.
+CHARS = 500_000
 #: Fixed value: the pattern for which :meth:`Codec.starts` has a vectorised form.
 PLAIN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _SPACE, _LETTER = 0, 1
@@ -83,7 +85,7 @@ class Codec:
         self._forget()
 
     def _forget(self) -> None:
-        self.slot: dict[int, int] = {}  # hash of a piece to its place below
+        self.hash, self.slot = np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)  # hashes of pieces, ascending, and their places below
         self.flat, self.at, self.len = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
         self.chars, self.chars_at, self.chars_len = np.empty(0, dtype=np.uint32), np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
 
@@ -230,12 +232,15 @@ class Codec:
         hashed, one, which = np.unique(self._hashes(code, start, end), return_index=True, return_inverse=True)
         if len(self.slot) + len(hashed) > self.cache_size or len(self.flat) + len(self.chars) > HELD:
             self._forget()
-        slot = self.slot
-        place = np.array([slot.get(h, -1) for h in hashed.tolist()], dtype=np.int64)
+        place = np.full(len(hashed), -1, dtype=np.int64)
+        if len(self.hash):
+            near = np.minimum(np.searchsorted(self.hash, hashed), len(self.hash) - 1)
+            place = np.where(self.hash[near] == hashed, self.slot[near], -1)
         new = np.flatnonzero(place < 0)
         if len(new):
-            place[new] = np.arange(len(slot), len(slot) + len(new))
-            slot.update(zip(hashed[new].tolist(), place[new].tolist(), strict=True))
+            place[new] = np.arange(len(self.slot), len(self.slot) + len(new))
+            among = np.searchsorted(self.hash, hashed[new])
+            self.hash, self.slot = np.insert(self.hash, among, hashed[new]), np.insert(self.slot, among, place[new])
             a, b = start[one[new]], end[one[new]]
             ids, counts = self.replay([text[i:j].encode("utf-8") for i, j in zip(a.tolist(), b.tolist(), strict=True)])
             self.at = np.concatenate([self.at, len(self.flat) + np.cumsum(counts) - counts])
@@ -277,7 +282,7 @@ class Codec:
         decoded = [data[a:b] for a, b in pairwise(cut)]
         return [sha256(said[a : max(a, b - 1)]).hexdigest() for a, b in pairwise(told)], [sha256(d).hexdigest() for d in decoded], decoded
 
-    def batches(self, texts: list[str | None], chars: int = 1_500_000) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    def batches(self, texts: list[str | None], chars: int = CHARS) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """Number of texts, their ids and counts, for runs of texts with about ``chars`` characters.
 
         A longer text is encoded in parts, cut where no match goes on.
@@ -314,7 +319,7 @@ def _spread(at: np.ndarray, count: np.ndarray) -> np.ndarray:
 @cache
 def _kinds() -> np.ndarray:
     """By code point: white space 0, letter 1, number 2, other 3."""
-    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    every = np.concatenate([np.arange(0xD800), np.arange(0xE000, 0x110000)]).astype("<u4").tobytes().decode("utf-32-le")
     kinds = np.full(0x110000, 3, dtype=np.uint8)
     for k, what in enumerate((r"\s+", r"\p{L}+", r"\p{N}+")):
         for m in regex.finditer(what, every):

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -52,11 +54,32 @@ def texts_of(docs: DataFrame, *also: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *also)
 
 
+@cache
+def _libc() -> ctypes.CDLL | None:
+    """The C library, if it can return free memory."""
+    lib = ctypes.CDLL(None)
+    return lib if hasattr(lib, "malloc_trim") else None
+
+
+def give_back() -> None:
+    """Return to the system what this process has freed.
+
+    A worker serves task after task, also of other operators, and would
+    otherwise keep the free room of the largest of them.
+    """
+    pa.default_memory_pool().release_unused()
+    if lib := _libc():
+        lib.malloc_trim(0)
+
+
 def pieces(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
     """The same rows in smaller batches, so that what is made of one stays small."""
+    give_back()
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+        del batch
+        give_back()
 
 
 _U = np.uint64

@@ -34,6 +34,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerlake.llm.common import give_back
+
 #: Fixed value: a word is a run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -136,6 +138,7 @@ def draws(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, limit: float =
     shards = max(1, min(round(sum(wanted) / shard_words), sum(quotas)))
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        give_back()  # before the large joins
         for batch in batches:
             for shard in batch["id"].tolist():
                 start, own = shard_quotas(quotas, shards, shard, seed)

@@ -1,14 +1,18 @@
 """The training-data operators on small fixtures, against brute force, and on edge cases."""
 
 import hashlib
+import re
+import tracemalloc
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import tiktoken
 
 import public_tokenizers
-from ledgerlake.llm import bpe, html_text, line_dedup, mixing, ngram_join, nn_descent, preference, span_dedup, toxicity, vafile
+from ledgerlake.llm import bpe, common, html_text, line_dedup, mixing, ngram_join, nn_descent, preference, span_dedup, toxicity, vafile
 from pyspark.sql import functions as F
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -53,6 +57,37 @@ def test_bpe_in_steps_and_by_replay():
     assert parts == [[codec.ranks[w]] if w in codec.ranks else codec.stepwise(w) for w in words]
 
 
+def test_bpe_memory_is_bounded():
+    ranks, rng = bpe.load_ranks(VOCABULARY), np.random.default_rng(5)
+    texts = [" ".join(f"{w:06x}" for w in rng.integers(0, 1 << 24, 150).tolist()) for _ in range(3000)]  # 3.1 million characters
+    bpe._kinds.cache_clear()
+    tracemalloc.start()
+    try:
+        codec = bpe.Codec(ranks, public_tokenizers.PATTERN)
+        n = sum(m for m, _, _ in codec.batches(texts))
+        peak = tracemalloc.get_traced_memory()[1] / 2**20
+    finally:
+        tracemalloc.stop()
+    assert n == len(texts)
+    assert peak < 90
+
+
+def test_workers_give_back_what_they_freed():
+    if common._libc() is None:
+        pytest.skip("the C library keeps free memory")
+
+    def resident():
+        return int(re.search(r"\nRssAnon:\s+(\d+)", Path("/proc/self/status").read_text())[1]) / 1024
+
+    full = [bytes(2000) for _ in range(100_000)]
+    last = full.pop()  # lies above the others, so the heap can't shrink by itself
+    del full
+    held = resident()
+    assert next(common.pieces(iter([pa.record_batch({"x": [1]})]))).num_rows == 1
+    assert resident() < held - 100
+    assert len(last) == 2000
+
+
 THUE = "".join("ab"[bin(i).count("1") & 1] for i in range(1024))
 OTHER = THUE.translate(str.maketrans("ab", "ba"))
 
